@@ -6,6 +6,9 @@ from lumenfold.plans.registry import Registry
 
 
 def core() -> Registry:
-    from lumenfold.plans import problems
+    from lumenfold.plans import archive, problems
 
-    return Registry().merge(problems.registry)
+    out = Registry()
+    for module in (problems, archive):
+        out.merge(module.registry)
+    return out
