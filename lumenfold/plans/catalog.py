@@ -6,9 +6,9 @@ from lumenfold.plans.registry import Registry
 
 
 def core() -> Registry:
-    from lumenfold.plans import archive, problems
+    from lumenfold.plans import archive, frames, problems
 
     out = Registry()
-    for module in (problems, archive):
+    for module in (problems, archive, frames):
         out.merge(module.registry)
     return out
