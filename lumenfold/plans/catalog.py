@@ -6,9 +6,9 @@ from lumenfold.plans.registry import Registry
 
 
 def core() -> Registry:
-    from lumenfold.plans import archive, frames, library, problems
+    from lumenfold.plans import activity, archive, frames, library, problems
 
     out = Registry()
-    for module in (problems, archive, frames, library):
+    for module in (problems, archive, frames, library, activity):
         out.merge(module.registry)
     return out
