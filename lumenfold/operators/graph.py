@@ -52,17 +52,21 @@ def ordered_clusters(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200)
     seed is that seed's member. Gives ``node`` and ``seed``.
     """
     up = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low <> high").distinct())
-    left = cut(nodes.select("node").distinct())
-    done = None
+    everyone = nodes.select("node").distinct()
+    left, seeds = cut(everyone), None
     for _ in range(most_rounds):
         # neighbours that are settled members can never be seeds: they no longer hold anybody up
-        alive = up.join(left.select(F.col("node").alias("high")), "high", "left_semi")
-        waits = alive.join(left.select(F.col("node").alias("low")), "low", "left_semi").select(F.col("high").alias("node")).distinct()
-        seeds = left.join(waits, "node", "left_anti")
-        taken = alive.join(seeds.select(F.col("node").alias("low")), "low").groupBy("high").agg(F.min("low").alias("seed")).select(F.col("high").alias("node"), "seed")
-        step = cut(seeds.select("node", F.col("node").alias("seed")).unionByName(taken))
-        done = step if done is None else cut(done.unionByName(step))
-        left = cut(left.join(step, "node", "left_anti"))
+        alive = up.join(left.select(F.col("node").alias("high")), "high", "left_semi").join(left.select(F.col("node").alias("low")), "low", "left_semi")
+        new = left.join(alive.select(F.col("high").alias("node")).distinct(), "node", "left_anti")
+        taken = alive.join(new.select(F.col("node").alias("low")), "low", "left_semi").select(F.col("high").alias("node")).distinct()
+        new = cut(new)
+        seeds = new if seeds is None else cut(seeds.unionByName(new))
+        left = cut(left.join(new, "node", "left_anti").join(taken, "node", "left_anti"))
         if left.isEmpty():
-            return done
-    raise RuntimeError("clusters did not settle")
+            break
+    else:
+        raise RuntimeError("clusters did not settle")
+    # only now are all seeds known: a member belongs to the first of those in its reach
+    first = up.join(seeds.select(F.col("node").alias("low")), "low").groupBy("high").agg(F.min("low").alias("seed"))
+    members = first.join(seeds.select(F.col("node").alias("high")), "high", "left_anti").select(F.col("high").alias("node"), "seed")
+    return seeds.select("node", F.col("node").alias("seed")).unionByName(members)
