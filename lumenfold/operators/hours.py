@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import names as N
+from lumenfold.session import cut
 
 # fixed values: when a master is stale, and when it holds more than was captured
 STALE_SHARE, STALE_HOURS = 0.20, 2.0
@@ -28,14 +29,16 @@ def ancestors(path: Column) -> Column:
 def nested_rejects(credits: DataFrame) -> DataFrame:
     """Hours, by rig, of rejected blocks that lie below another captured block: those were counted there already.
 
-    A block's own ancestors are looked up among the buckets: an equi-join, not a
-    comparison of every pair of paths.
+    Blocks are first summed by folder. A folder's own ancestors are then looked
+    up among the folders: an equi-join, not a comparison of every pair of paths.
     """
     blocks = credits.where("role = 'folder_sub' and counts_captured")
-    buckets = blocks.select(*RIG, F.array_join(N.segments(F.col("bucket")), "/").alias("__at")).distinct()
-    rejected = blocks.where("not accepted").withColumn("__id", F.struct("path", "bucket", "hours"))
-    below = rejected.select(*RIG, "__id", "hours", F.explode(ancestors(F.col("bucket"))).alias("__at")).join(buckets, [*RIG, "__at"], "left_semi")
-    return below.select(*RIG, "__id", "hours").distinct().groupBy(*RIG).agg(F.sum("hours").alias("nested_hours"))
+    hours = F.sum(F.when(~F.col("accepted"), F.col("hours")))
+    folders = cut(blocks.groupBy(*RIG, "bucket").agg(hours.alias("rejected_hours")))
+    at = folders.select(*RIG, F.array_join(N.segments(F.col("bucket")), "/").alias("__at")).distinct()
+    below = folders.where("rejected_hours is not null").select(*RIG, "bucket", "rejected_hours", F.explode(ancestors(F.col("bucket"))).alias("__at")).join(at, [*RIG, "__at"], "left_semi")
+    once = below.groupBy(*RIG, "bucket").agg(F.first("rejected_hours").alias("h"))
+    return once.groupBy(*RIG).agg(F.sum("h").alias("nested_hours"))
 
 
 def by_rig(members: DataFrame) -> DataFrame:

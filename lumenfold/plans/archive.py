@@ -16,8 +16,9 @@ query = registry.query
 
 def normalised(frames: DataFrame) -> DataFrame:
     """Frames with canonical filter, telescope, camera and rig."""
-    scope, camera = N.telescope_name(F.col("raw_scope")), N.camera_name(F.col("raw_camera"))
-    return frames.withColumns({"filter": N.canonical_filter(F.col("raw_filter")), "telescope": scope, "camera": camera}).withColumn("rig_key", N.rig_key(F.col("telescope"), F.col("camera")))
+    df = N.by_value(frames, "raw_filter", "filter", N.canonical_filter)
+    df = N.by_value(N.by_value(df, "raw_scope", "telescope", N.telescope_name), "raw_camera", "camera", N.camera_name)
+    return df.withColumn("rig_key", N.rig_key(F.col("telescope"), F.col("camera")))
 
 
 def members(frames: DataFrame) -> DataFrame:

@@ -54,14 +54,15 @@ class NightStream:
 
     def _append(self, batch: DataFrame, batch_id: int) -> None:
         delta = N.classify(N.fold(batch), self.clock)
-        # rebalance gathers a night's rows and splits a night that is too large for one task
-        delta.drop("arrival").hint("rebalance", "night").write.mode("overwrite").partitionBy("night").parquet(f"{self.work}/state/batch={batch_id}")
+        # a month is a part: few files, and a touched night reads one; rebalance splits a month that is too large for a task
+        parts = delta.drop("arrival").withColumn("month", F.substring("night", 1, 7)).hint("rebalance", "month")
+        parts.write.mode("overwrite").partitionBy("month").parquet(f"{self.work}/state/batch={batch_id}")
 
     def _upsert(self, batch: DataFrame, batch_id: int) -> None:
         self._append(batch, batch_id)
-        touched = self._state_files(batch_id).select("night").distinct()
-        # one row a night: a broadcast is bounded by the nights of the calendar
-        state = N.merge(self._state_files().join(F.broadcast(touched), "night", "left_semi"))
+        touched = self._state_files(batch_id).select("month", "night").distinct()
+        # one row a night: a broadcast is bounded by the nights of the calendar, and prunes the months that are read
+        state = N.merge(self._state_files().join(F.broadcast(touched), ["month", "night"], "left_semi"))
         seen = N.classify(state, self.clock)
         N.totals(seen).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.work}/nights/b{batch_id}")
         late = N.dropped(seen).withColumn("batch", F.lit(batch_id))
@@ -69,7 +70,7 @@ class NightStream:
 
     def _state_files(self, batch_id: int | None = None) -> DataFrame:
         df = self.spark.read.option("basePath", f"{self.work}/state").parquet(f"{self.work}/state" + ("" if batch_id is None else f"/batch={batch_id}"))
-        return df.withColumn("night", F.col("night").cast("string"))
+        return df.withColumn("month", F.col("month").cast("string"))
 
     def state(self) -> DataFrame:
         """The keyed state after all batches, classified."""
