@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.session import BROADCAST_BOUND, cut
+from lumenfold.session import cut
+
+#: Bytes of item text that one scan works off: its windows are built on the driver, some hundred times the text.
+ITEM_BYTES = 1 << 20
 
 #: Runs of letters and digits; everything else only separates.
 WORD = re.compile(r"[^\W_]+")
@@ -106,7 +109,7 @@ def shingle_hits(documents: DataFrame, index: ShingleIndex) -> DataFrame:
     return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, "doc_id bigint, pos bigint, shingle bigint, n_words bigint")
 
 
-def leaked_windows(documents: DataFrame, items: DataFrame, window: int = 12, size: int = 5, bound: int = BROADCAST_BOUND) -> DataFrame:
+def leaked_windows(documents: DataFrame, items: DataFrame, window: int = 12, size: int = 5, bound: int = ITEM_BYTES) -> DataFrame:
     """doc_id, start and window number of every window of an item that a document holds, and the item_id.
 
     ``items`` (item_id, item_text) is a held-out set; its text must be within
