@@ -6,9 +6,9 @@ from lumenfold.plans.registry import Registry
 
 
 def core() -> Registry:
-    from lumenfold.plans import activity, archive, frames, library, problems, schedule
+    from lumenfold.plans import activity, archive, fields, frames, library, problems, schedule
 
     out = Registry()
-    for module in (problems, archive, frames, library, activity, schedule):
+    for module in (problems, archive, frames, library, activity, schedule, fields):
         out.merge(module.registry)
     return out
