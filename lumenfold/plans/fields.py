@@ -49,12 +49,12 @@ def target_numbers(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rotation_medians",
     """with x as (select unnest(list_distinct(telescopes)) as telescope, rotation_deg as r from library_target where rotation_deg is not null), m as (select telescope, degrees(atan2(avg(sin(radians(r))), avg(cos(radians(r))))) as mean from x group by 1),
-    o as (select telescope, mean, ((r - mean + 180) % 360 + 360) % 360 - 180 as off from x join m using (telescope)), d as (select telescope, any_value(mean) + median(off) as a from o group by 1) select telescope, round((a % 360 + 360) % 360, 5) as median_deg from d""",
+    o as (select telescope, mean, ((r - mean + 180) % 360 + 360) % 360 - 180 as off from x join m using (telescope)), d as (select telescope, any_value(mean) + median(off) as a from o group by 1) select telescope, round((a % 360 + 360) % 360, 5) % 360 as median_deg from d""",
 )
 def rotation_medians(spark: SparkSession, sf: str) -> DataFrame:
     """Median rotation per telescope, unwrapped about the mean."""
     x = read(spark, sf, "library_target").where("rotation_deg is not null").select(F.explode(F.array_distinct("telescopes")).alias("telescope"), "rotation_deg")
-    return grouped.circular_median(x, ["telescope"], "rotation_deg").select("telescope", F.round("median_deg", 5).alias("median_deg"))
+    return grouped.circular_median(x, ["telescope"], "rotation_deg").select("telescope", (F.round("median_deg", 5) % 360).alias("median_deg"))
 
 
 @query("project_rotations")

@@ -9,6 +9,7 @@ from lumenfold.functions import sphere as S
 from lumenfold.operators import coverage as C
 from lumenfold.operators import search as Q
 from lumenfold.operators import sky
+from lumenfold.plans.problems import P5_SQL
 from lumenfold.plans.registry import Registry
 from lumenfold.session import read
 
@@ -160,7 +161,11 @@ def cone_matches(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("target_id", "candidate_id", "place", F.round("sep_deg", 6).alias("sep_deg"))
 
 
-@query("hit_test")
+@query(
+    "hit_test",
+    f"""with pairs as ({P5_SQL}) select candidate_id, first(p.target_id order by coalesce(t.footprint_arcmin[1] * t.footprint_arcmin[2], 1e9), p.target_id) as target_id, count(*) as footprints
+    from pairs p join library_target t on t.target_id = p.target_id group by 1""",
+)
 def hit_test(spark: SparkSession, sf: str) -> DataFrame:
     """The smallest footprint that holds each point; ties by id."""
     pts = read(spark, sf, "gap_candidate").select("candidate_id", "ra_deg", "dec_deg")

@@ -243,7 +243,22 @@ def plan_documents(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("plan_id", "rows", F.array_join(F.transform("filter_rows", lambda r: F.concat(r["row_id"], F.lit(":"), F.coalesce(r["filter"], F.lit("")))), ",").alias("rows_text"))
 
 
-@query("year_visibility")
+YEAR_SQL = """
+with m as (select unnest(generate_series(1, 12)) as month), t as (select month, date_diff('day', date '2000-01-01', make_date(2026, month, 15)) + i * 15 / 1440.0 as d from m, (select unnest(generate_series(0, 96)) as i)),
+e as (select month, d, radians(280.460 + d * 0.9856474 + sin(radians(357.528 + d * 0.9856003)) * 1.915 + sin(radians(357.528 + d * 0.9856003) * 2) * 0.020) as lon, radians(23.439 - d * 0.0000004) as eps, 280.46061837 + d * 360.98564736629 - 105.5 as lst from t),
+s as (select *, degrees(atan2(cos(eps) * sin(lon), cos(lon))) as sa, asin(sin(eps) * sin(lon)) as sd from e),
+dark as (select month, d, lst from s where degrees(asin(sin(sd) * sin(radians(32.9)) + cos(sd) * cos(radians(32.9)) * cos(radians(lst - sa)))) < -18),
+f as (select target_id, radians(center_ra_deg) as a, radians(center_dec_deg) as q from library_target where center_ra_deg is not null and center_dec_deg is not null),
+v as (select target_id, month, lst, radians(d / 36525.0 * 0.5567530) as z, d / 36525.0 * 1.2812323 as mm, cos(q) * cos(a) as x, cos(q) * sin(a) as y, sin(q) as w from f, dark),
+p as (select target_id, month, lst - degrees(atan2(y, x * cos(z) - w * sin(z))) - mm as h, asin(greatest(-1, least(1, x * sin(z) + w * cos(z)))) as dec from v),
+alt as (select target_id, month, degrees(asin(greatest(-1, least(1, sin(dec) * sin(radians(32.9)) + cos(dec) * cos(radians(32.9)) * cos(radians(h)))))) as alt from p),
+g as (select target_id, month, max(alt) as peak, count(*) filter (alt >= 30) * 0.25 as hours from alt group by 1, 2)
+select target_id, month, case when peak is null or peak < 30 then 'not_visible' when hours < 1 then 'partial' when peak >= 60 and hours >= 3 then 'great' when peak >= 45 and hours >= 2 then 'good' else 'fair' end as label,
+  round(peak, 2) as peak_alt_deg, cast(round(coalesce(hours, 0), 2) as double) as hours_above_min from f cross join m left join g using (target_id, month)
+"""
+
+
+@query("year_visibility", YEAR_SQL)
 def year_visibility(spark: SparkSession, sf: str) -> DataFrame:
     """Visibility of every field over a year from one site."""
     t = read(spark, sf, "library_target").where("center_ra_deg is not null and center_dec_deg is not null").select("target_id", F.col("center_ra_deg").alias("ra_deg"), F.col("center_dec_deg").alias("dec_deg"))
