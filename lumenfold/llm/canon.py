@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import BROADCAST_BOUND, cut
+
 
 def distance(a: str, b: str) -> int:
     """Damerau-Levenshtein distance with transpositions of any reach: a true metric."""
@@ -169,8 +171,14 @@ def _found(values: pd.Series, tree: BKTree, decoration: Decoration, threshold: i
 
 
 def map_column(rows: DataFrame, column: str, matched: DataFrame) -> DataFrame:
-    """``rows`` with ``canon_id``, ``entry`` and ``dist`` of the value in ``column``; all null where it is null."""
-    m = matched.select(F.col("value").alias("__value"), "canon_id", "entry", "dist")
+    """``rows`` with ``canon_id``, ``entry`` and ``dist`` of the value in ``column``; all null where it is null.
+
+    The matches are written once and measured: within the bound they are broadcast,
+    so that a value which many rows hold moves none of them; else the planner joins.
+    """
+    m = cut(matched.select(F.col("value").alias("__value"), "canon_id", "entry", "dist"))
+    size = m.agg(F.sum(F.octet_length("__value") + F.coalesce(F.octet_length("entry"), F.lit(0)) + 64)).first()[0] or 0
+    m = F.broadcast(m) if size <= BROADCAST_BOUND else m
     return rows.join(m, F.col(column) == F.col("__value"), "left").drop("__value")
 
 

@@ -51,7 +51,7 @@ def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows, canon.match_values(rows.select("value"), filters.entries(read(spark, sf, "filter_canon")), filters.BESIDE)
 
 
-@query("p3_found")
+@query("p3_found", sql.p3_found())
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The entry that each free-typed filter means, 0 if none."""
     rows, matched = _matched(spark, sf)

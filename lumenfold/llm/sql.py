@@ -9,3 +9,29 @@ select distinct doc_id, item_id from dw join iw using (win)
 """
 
 P9_ITEMS = f"select item_id, count(*) as documents from ({P9_FOUND}) group by 1"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def p3_found() -> str:
+    """Forms of each value by a recursive query, then the nearest entry; typing errors count as in the operator."""
+    from lumenfold.llm.canon import fold
+    from lumenfold.llm.filters import BESIDE, SPELLINGS
+
+    spelled = ", ".join(f"({_quoted(name)}, {_quoted(fold(s))})" for name, ss in SPELLINGS.items() for s in ss)
+    # look-ahead isn't known to this dialect: the letter is put back instead
+    cut = [(rf"^(?:{p})", "") if "(?=" not in p else (rf"^{p.replace('(?=', '(').replace(')', ')')}", r"\1") for p in BESIDE.prefixes] + [(rf"(?:{p})$", "") for p in BESIDE.suffixes]
+    steps = ", ".join(f"regexp_replace(t, {_quoted(p)}, {_quoted(r)})" for p, r in cut)
+    folded = "trim(regexp_replace(lower(replace(replace(replace(v, 'Ã¼', 'ü'), 'Î±', 'α'), 'Î²', 'β')), '[\\s_]+', ' ', 'g'))"
+    return f"""
+with recursive r as (
+  select 'exposuretemplate' as tbl, cast(id as bigint) as row_id, filtername as v from exposuretemplate union select 'plan_row', plan_row_id, filter from plan_row union select 'acquiredimage', id, filtername from acquiredimage),
+w as (select * from r where v is not null and v not in (select canon_name from filter_canon)),
+e as (select canon_id, trim(regexp_replace(lower(canon_name), '[\\s_]+', ' ', 'g')) as entry from filter_canon union select canon_id, entry from (values {spelled}) s(canon_name, entry) join filter_canon using (canon_name)),
+f as (select distinct v, {folded} as t from w union select v, trim(unnest([{steps}])) as t from f),
+d as (select v, canon_id, case when t = entry then 0 when abs(len(t) - len(entry)) <= 1 and len(t) >= 5 and len(entry) >= 5 then damerau_levenshtein(t, entry) else 9 end as dist from f, e where t <> ''),
+b as (select v, first(canon_id order by dist, canon_id) as canon_id from d where dist <= 1 group by 1)
+select tbl, row_id, cast(coalesce(b.canon_id, 0) as bigint) as canon_id from w left join b using (v)
+"""
