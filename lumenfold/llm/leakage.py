@@ -88,25 +88,29 @@ class ShingleIndex:
 
 
 def shingle_hits(documents: DataFrame, index: ShingleIndex) -> DataFrame:
-    """doc_id, pos and shingle of every occurrence of an item's shingle in the whole texts, with the document's length in words."""
+    """doc_id, row, pos and shingle of every occurrence of an item's shingle in the whole texts, with the document's length in words.
+
+    ``row`` is a hash of the text: texts that share an id are never mixed.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for b in batches:
-            docs, pos, num, length = [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            docs, rows, pos, num, length = [], [], [], [], []
+            for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text")):
                 words = words_of(text.as_py())
                 at, number = ix.hits(words)
                 if len(at):
                     docs.append(np.full(len(at), doc, np.int64))
+                    rows.append(np.full(len(at), row, np.int64))
                     pos.append(at)
                     num.append(number)
                     length.append(np.full(len(at), len(words), np.int64))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, pos, num, length)], names=["doc_id", "pos", "shingle", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, rows, pos, num, length)], names=["doc_id", "row", "pos", "shingle", "n_words"])
 
-    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, "doc_id bigint, pos bigint, shingle bigint, n_words bigint")
+    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(scan, "doc_id bigint, row bigint, pos bigint, shingle bigint, n_words bigint")
 
 
 def leaked_windows(documents: DataFrame, items: DataFrame, window: int = 12, size: int = 5, bound: int = ITEM_BYTES) -> DataFrame:
@@ -139,11 +143,11 @@ def _leaked(documents: DataFrame, index: ShingleIndex) -> DataFrame:
     rarity = needs.join(seen, "shingle", "left").withColumn("n", F.coalesce("count", F.lit(0)))
     rarest = rarity.groupBy("window").agg(F.min(F.struct("n", "shingle", "offset")).alias("p")).where("p.n > 0").select("window", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset"))
     # places where a window may begin, within the bounds of the document
-    starts = hits.join(rarest, "shingle").select("doc_id", "window", "n_words", (F.col("pos") - F.col("offset")).alias("start"))
+    starts = hits.join(rarest, "shingle").select("doc_id", "row", "window", "n_words", (F.col("pos") - F.col("offset")).alias("start"))
     starts = starts.where((F.col("start") >= 0) & (F.col("start") + index.window <= F.col("n_words"))).drop("n_words").distinct()
     # a window lies there if all its shingles lie in step
-    wanted = starts.join(needs, "window").select("doc_id", "window", "start", (F.col("start") + F.col("offset")).alias("pos"), "shingle")
-    whole = wanted.join(hits.select("doc_id", "pos", "shingle").distinct(), ["doc_id", "pos", "shingle"]).groupBy("doc_id", "window", "start").count().where(F.col("count") == last + 1)
+    wanted = starts.join(needs, "window").select("doc_id", "row", "window", "start", (F.col("start") + F.col("offset")).alias("pos"), "shingle")
+    whole = wanted.join(hits.select("doc_id", "row", "pos", "shingle").distinct(), ["doc_id", "row", "pos", "shingle"]).groupBy("doc_id", "row", "window", "start").count().where(F.col("count") == last + 1)
     return whole.join(items, "window").select("doc_id", "item_id", "window", "start")
 
 

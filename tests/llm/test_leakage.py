@@ -49,6 +49,12 @@ def test_edges(spark):
     assert run(spark, docs, []) == [] and run(spark, [], [item]) == []
 
 
+def test_texts_of_one_id_are_not_mixed(spark):
+    first, second = "a b c d e f x x x x x x", "x x x x x x g h i j k l"
+    assert run(spark, [(1, first), (1, second)], [(1, "a b c d e f g h i j k l")], 12, 3) == []
+    assert run(spark, [(1, first), (1, first), (1, second)], [(1, "a b c d e f")], 6, 3) == [(1, 1)]
+
+
 def test_items_in_parts(spark):
     rnd = random.Random(9)
     items = [(i, " ".join(str(rnd.randint(0, 3)) for _ in range(10))) for i in range(8)]
