@@ -14,13 +14,15 @@ BROADCAST_BOUND = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a temporary folder
-    is made and registered, once per session.
+    Only where the setting is missing and all executors are on this machine (as
+    in tests) a temporary folder is made and registered, once per session.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = getattr(sc, "_lumenfold_dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if at is None:
             at = sc._lumenfold_dir = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
     if sc.getCheckpointDir() is None:
