@@ -228,7 +228,11 @@ def repeated_guids(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "scheduler_target").where("guid is not null").groupBy("guid").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-@query("stable_ids")
+@query(
+    "stable_ids",
+    """with h as (select id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', cast(len(profileid) as varchar), profileid, cast(len(name) as varchar), name))) as h from project)
+    select id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (position(substr(h, 17, 1) in '0123456789abcdef') - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as stable_id from h""",
+)
 def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Name-based identifiers of projects: the same on every run."""
     name = F.concat_ws("|", F.length("profileid").cast("string"), "profileid", F.length("name").cast("string"), "name")
@@ -265,7 +269,11 @@ def year_visibility(spark: SparkSession, sf: str) -> DataFrame:
     return P.year_visibility(t, 2026, 32.9, -105.5, 30.0)
 
 
-@query("visibility_trend")
+@query(
+    "visibility_trend",
+    f"""with y as ({YEAR_SQL}), r as (select *, list_position(['not_visible', 'partial', 'fair', 'good', 'great'], label) - 1 as rank from y)
+    select target_id, max(rank * 100 + hours_above_min) filter (month = 6) as now, sum(rank * 100 + hours_above_min) filter (month in (7, 8, 9)) as season, min((month + 6) % 12) filter (rank >= 3) as months_until_good from r group by 1""",
+)
 def visibility_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Score of the month, of the season and the months until a field is good."""
     return P.trend(year_visibility(spark, sf), 6)
