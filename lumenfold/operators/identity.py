@@ -57,22 +57,41 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["what", "l", "r", "into"]).astype({"l": "Int64", "r": "Int64", "into": "Int64"})
 
 
-def assign(previous: DataFrame, new: DataFrame, edges: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+def _revive(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best pairs first, each old number and each new target once."""
+    rows: dict = {}
+    for e in sorted(pdf.itertuples(), key=lambda e: (e.shared, e.union, -e.sep_deg, -e.l, -e.r), reverse=True):
+        if e.r not in rows and e.l not in rows.values():
+            rows[e.r] = e.l
+    return pd.DataFrame(list(rows.items()), columns=["r", "target_id"])
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """Edges with the component that their ends belong to."""
+    nodes = edges.select((F.col("l") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b"))
+    found = connected_components(nodes).where(F.col("node") % 2 == 0).select((F.col("node") / 2).cast("bigint").alias("l"), "component")
+    return edges.join(found, "l")
+
+
+def assign(previous: DataFrame, new: DataFrame, edges: DataFrame, next_id: int, retired_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(r, target_id, status) of the new targets, and (l, into) of the old ones: the number they end in, null if retired.
 
     ``previous``: l, hours. ``new``: r, hours. Old and new targets that match form
     components; each is settled on its own, since fields that overlap are few.
     An old target with several new ones stays with the one of most hours (a
     split); several old ones become the one of most hours (a merge); else the
-    best pairs are taken greedily. New numbers count up from ``next_id``.
+    best pairs are taken greedily. ``retired_edges`` are matches with numbers that
+    were retired before: new targets left over take those back. New numbers count
+    up from ``next_id``.
     """
-    e = cut(edges)
-    nodes = e.select((F.col("l") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b"))
-    comp = connected_components(nodes).select((F.col("node") / 2).cast("bigint").alias("l"), "component", (F.col("node") % 2 == 0).alias("old")).where("old").drop("old")
-    full = e.join(comp, "l").join(previous.select("l", F.col("hours").alias("hours_l")), "l").join(new.select("r", F.col("hours").alias("hours_r")), "r")
+    full = _components(cut(edges)).join(previous.select("l", F.col("hours").alias("hours_l")), "l").join(new.select("r", F.col("hours").alias("hours_r")), "r")
     settled = cut(full.groupBy("component").applyInPandas(_settle, "what string, l bigint, r bigint, into bigint"))
     kept = settled.where("what = 'keep'").select("r", F.col("l").alias("target_id"), F.lit("kept").alias("status"))
     rest = new.join(kept, "r", "left_anti").select("r")
+    if retired_edges is not None:
+        back = cut(_components(cut(retired_edges.join(rest, "r", "left_semi"))).groupBy("component").applyInPandas(_revive, "r bigint, target_id bigint"))
+        kept = kept.unionByName(back.select("r", "target_id", F.lit("revived").alias("status")))
+        rest = rest.join(back, "r", "left_anti")
     fresh = dense_ids(rest, [F.col("r").asc()], "target_id", next_id).select("r", "target_id", F.lit("new").alias("status"))
     gone = previous.select("l").join(settled.where("what = 'keep'").select("l"), "l", "left_anti").join(settled.where("what = 'merge'").select("l", "into"), "l", "left")
     return kept.unionByName(fresh), gone

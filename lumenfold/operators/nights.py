@@ -45,6 +45,12 @@ class NightClock:
         return F.timestamp_micros(F.unix_micros(self.closing(at)) + F.lit(self.lateness_hours * HOUR))
 
 
+def local_night(at: Column, zone: str) -> Column:
+    """The date on which the evening of ``at`` began in a named zone: twelve hours are taken off the wall clock, also on days when it is put forward or back."""
+    wall = F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz"))
+    return F.to_date(wall - F.make_dt_interval(hours=F.lit(12)))
+
+
 def fold(deliveries: DataFrame) -> DataFrame:
     """State of each event from its deliveries: the arrival of the first one and the latest revision.
 

@@ -96,6 +96,15 @@ def test_identities(spark):
     assert ids == {} and gone == {1: None}
 
 
+def test_retired_numbers_come_back_for_the_same_place(spark):
+    old, gone, new = [(1, 10.0, 0.0, 60, 60)], [(7, 50.0, 5.0, 60, 60), (8, 50.0, 5.02, 60, 60)], [(0, 10.0, 0.0, 60, 60), (1, 50.0, 5.0, 60, 60), (2, 90.0, 0.0, 60, 60)]
+    none = lambda k: spark.createDataFrame([], f"{k} bigint, name string")
+    edges = lambda rows: I.match_edges(fields(spark, rows, "l"), fields(spark, new, "r"), none("l"), none("r"))
+    hours = lambda rows, k: spark.createDataFrame([(r[0], 1.0) for r in rows], f"{k} bigint, hours double")
+    ids, lost = I.assign(hours(old, "l"), hours(new, "r"), edges(old), 50, edges(gone))
+    assert {r["r"]: (r["target_id"], r["status"]) for r in ids.collect()} == {0: (1, "kept"), 1: (7, "revived"), 2: (50, "new")} and lost.count() == 0
+
+
 def test_chains(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 8), (9, 10)] + [(100 + i, 101 + i) for i in range(20)], "old int, new int")
     got = {r["old"]: r["new"] for r in I.resolve_chains(df).collect()}

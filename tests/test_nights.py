@@ -85,3 +85,18 @@ def test_stream_in_micro_batches_equals_one_run(spark, tmp_path):
     whole = N.classify(N.fold(spark.createDataFrame(rs + more, SCHEMA)))
     assert norm(stream.nights()) == norm(N.totals(whole))
     assert stream.state().where(F.col("key") == "late").count() == 1
+
+
+def test_local_nights_on_days_of_clock_changes(spark):
+    from zoneinfo import ZoneInfo
+
+    zone = ZoneInfo("Europe/Berlin")
+    base = dt.datetime(2024, 3, 30, 20, tzinfo=UTC)
+    times = [base + dt.timedelta(minutes=37 * i) for i in range(60)] + [dt.datetime(2024, 10, 26, 20, tzinfo=UTC) + dt.timedelta(minutes=37 * i) for i in range(60)]
+    want = [(t.astimezone(zone).replace(tzinfo=None) - dt.timedelta(hours=12)).date() for t in times]
+    df = spark.createDataFrame(list(enumerate(times)), "i int, t timestamp").orderBy("i")
+    for session in ("UTC", "America/Denver"):
+        spark.conf.set("spark.sql.session.timeZone", session)
+        got = [r[0] for r in df.select(N.local_night(F.col("t"), "Europe/Berlin")).collect()]
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == want
