@@ -72,10 +72,11 @@ def centre_of(cell: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells_in_polygon(ra: np.ndarray, dec: np.ndarray, depth: int) -> np.ndarray:
-    """Cells whose centre lies in the convex region between the given corners, in any order.
+    """Cells whose centre lies in the convex region between the given corners, in any order; without one, the cells that it meets.
 
     A fine grid on the tangent plane finds every cell near the region; the
-    centres of those cells are then tested against the great circles.
+    centres of those cells are then tested against the great circles. A region
+    that holds no centre holds no whole cell, so its edge meets all its cells.
     """
     v = _xyz(ra, dec)
     m = v.sum(axis=0)
@@ -97,7 +98,19 @@ def cells_in_polygon(ra: np.ndarray, dec: np.ndarray, depth: int) -> np.ndarray:
     p /= np.linalg.norm(p, axis=1)[:, None]
     cells = np.unique(cell_of(np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(np.clip(p[:, 2], -1, 1))), depth))
     c = _xyz(*centre_of(cells, depth))
-    return cells[(c @ normals.T >= 0).all(axis=1)]
+    inside = cells[(c @ normals.T >= 0).all(axis=1)]
+    return inside if len(inside) else _cells_on_edge(v, side / 200, depth)
+
+
+def _cells_on_edge(v: np.ndarray, step: float, depth: int) -> np.ndarray:
+    """Cells under the closed line through the vectors, seen at points at most ``step`` apart: one that is clipped by less may be missed."""
+    points = []
+    for a, b in zip(v, np.roll(v, -1, axis=0)):
+        k = int(np.ceil(np.linalg.norm(b - a) / step)) + 1
+        points.append(a + np.linspace(0, 1, k)[:, None] * (b - a))
+    p = np.concatenate(points)
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    return np.unique(cell_of(np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.degrees(np.arcsin(np.clip(p[:, 2], -1, 1))), depth))
 
 
 def _xyz(ra: np.ndarray, dec: np.ndarray) -> np.ndarray:

@@ -38,10 +38,10 @@ def corner_arrays(targets: DataFrame) -> DataFrame:
 
 
 def footprint_cells(targets: DataFrame, depth: int = 10, keep: tuple[str, ...] = ("target_id",)) -> DataFrame:
-    """One row a footprint and cell whose centre it holds.
+    """One row a footprint and cell whose centre it holds, or that it meets if it holds no centre.
 
     A cell on the edge belongs to the footprint that holds its centre, so areas
-    differ from the true ones by the edge cells only.
+    differ from the true ones by the edge cells only, and no footprint vanishes.
     """
 
     @F.pandas_udf("array<bigint>")

@@ -11,7 +11,7 @@ from lumenfold.operators import search as Q
 from lumenfold.operators import sky
 from lumenfold.plans.problems import P5_SQL
 from lumenfold.plans.registry import Registry
-from lumenfold.session import read
+from lumenfold.session import cut, read
 
 registry = Registry()
 query = registry.query
@@ -175,7 +175,7 @@ def hit_test(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(area, "target_id").groupBy("candidate_id").agg(F.min_by("target_id", F.struct("area", "target_id")).alias("target_id"), F.count("*").alias("footprints"))
 
 
-DEPTH = 8
+DEPTH = 10
 
 
 def _band_cells(spark: SparkSession, sf: str, band: str) -> DataFrame:
@@ -208,7 +208,7 @@ def coverage_share(spark: SparkSession, sf: str) -> DataFrame:
 @query("coverage_normalised")
 def coverage_normalised(spark: SparkSession, sf: str) -> DataFrame:
     """The gap as few cells as possible."""
-    return C.normalised(gap_region(spark, sf), DEPTH)
+    return C.normalised(cut(gap_region(spark, sf)), DEPTH)  # each level reads the gap again
 
 
 @query(

@@ -39,6 +39,26 @@ def test_polygon_area(centre):
     assert area == pytest.approx(4.0, rel=0.05) and len(set(cells)) == len(cells)
 
 
+@pytest.mark.parametrize("centre", [(0.0, 0.0), (359.9, 45.0), (10.0, 89.5), (200.0, -80.0)])
+def test_footprint_without_a_centre_keeps_its_cells(centre):
+    # a small box round a corner of cells, where no centre lies
+    depth, half = 8, 0.02
+    cell = H.cell_of(np.array([centre[0]]), np.array([centre[1]]), depth)
+    ra, dec = H.centre_of(cell, depth)
+    ra, dec = ra[0], dec[0] + 0.08
+    wide = half / np.cos(np.radians(dec))
+    got = set(H.cells_in_polygon(np.array([ra - wide, ra + wide, ra + wide, ra - wide]), np.array([dec - half, dec - half, dec + half, dec + half]), depth))
+    rng = np.random.default_rng(0)
+    under = set(H.cell_of(ra + rng.uniform(-wide, wide, 20_000), dec + rng.uniform(-half, half, 20_000), depth))
+    assert got and under <= got
+
+
+def test_registered_depth_is_the_references():
+    from lumenfold.plans import library
+
+    assert library.DEPTH == 10
+
+
 def cells(spark, xs):
     return spark.createDataFrame([(int(x),) for x in xs], "cell bigint")
 
