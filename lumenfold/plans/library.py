@@ -103,9 +103,9 @@ def gear_of_library(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("targets_by_name", "select target_id, row_number() over (order by regexp_replace(lower(coalesce(objects[1], '')), '\\s+', ' ', 'g'), target_id) as place from library_target where objects is not null and len(objects) > 0 and regexp_full_match(lower(objects[1]), '[a-z ]+') qualify place <= 200")
 def targets_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 200 targets in natural order of their names: a distributed sort and a limit."""
-    first = F.try_element_at("objects", F.lit(1))
-    df = _library(spark, sf).where(F.lower(first).rlike("^[a-z ]+$")).withColumn("key", Q.natural_key(F.regexp_replace(first, r"\s+", " ")))
+    """The first 200 of all named targets in natural order of their names: a distributed sort and a limit."""
+    first = F.coalesce(F.try_element_at("objects", F.lit(1)), F.lit(""))
+    df = _library(spark, sf).where(F.size("objects") > 0).withColumn("key", Q.natural_key(F.regexp_replace(first, r"\s+", " ")))
     top = df.orderBy("key", "target_id").limit(200).select("target_id", "key")
     return top.select("target_id", F.row_number().over(Window.orderBy("key", "target_id")).alias("place"))
 

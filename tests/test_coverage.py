@@ -96,3 +96,18 @@ def test_search_language(spark):
     assert found("class:x") == [1, 2, 3] and found("hours>x") == [] and found('name:"ngc 7000"') == [1]
     keys = [r[0] for r in spark.createDataFrame([("M 101",), ("M 9",), ("m 33",)], "n string").orderBy(Q.natural_key(F.col("n"))).collect()]
     assert keys == ["M 9", "m 33", "M 101"]
+
+
+def test_targets_by_name_sorts_all_names(spark, tmp_path):
+    import re
+
+    from lumenfold.plans.library import targets_by_name
+
+    rnd = np.random.default_rng(3)
+    names = [f"{rnd.choice(['ABC', 'abc', 'Pale_Gate', 'x-y'])} {rnd.integers(0, 300)}{rnd.choice(['', ' panel 2', ' panel 10'])}" for _ in range(230)] + ["Quiet Gate", None, ""]
+    rows = [(i, [n]) for i, n in enumerate(names)] + [(900, None), (901, [])]
+    spark.createDataFrame(rows, "target_id bigint, objects array<string>").write.parquet(str(tmp_path / "library_target.parquet"))
+    natural = lambda n: [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|\D+", (n or "").lower())]
+    want = sorted(range(len(names)), key=lambda i: (natural(names[i]), i))[:200]
+    got = sorted((r["place"], r["target_id"]) for r in targets_by_name(spark, str(tmp_path)).collect())
+    assert got == list(enumerate(want, 1))
