@@ -62,22 +62,27 @@ def posterior(vectors: np.ndarray, share: float, m: list[np.ndarray], u: list[np
 def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[tuple[Column, Column]], near: DataFrame | None = None, crowd: int = 200, refine: tuple[Column, Column] | None = None) -> DataFrame:
     """Distinct (l, r) of rows that share a blocking key in any pass; each pass gives an array of keys on either side.
 
-    A key that more than ``crowd`` rows of the right table share would give the
-    product of its rows, so it is refined with the keys of ``refine`` (arrays on
-    both sides); pairs that differ there are left to the other passes and to
-    ``near``, the pairs found by place.
+    A key that more than ``crowd`` rows of the right table share is dealt into
+    parts of about ``crowd`` rows, and its left rows go to each part: all pairs
+    are found, and no task has the whole key. With ``refine`` (arrays of keys on
+    both sides) only pairs that also share one of those are kept of such a key.
     """
     found = near.select("l", "r") if near is not None else None
     for a, b in passes:
         keys_l = left.select("l", F.explode(F.array_distinct(a)).alias("k"), *([refine[0].alias("f")] if refine else []))
         keys_r = right.select("r", F.explode(F.array_distinct(b)).alias("k"), *([refine[1].alias("f")] if refine else []))
-        if refine:
+        if not refine:
+            counts = keys_r.groupBy("k").count().where(F.col("count") > crowd)
+            crowded = counts.select("k", F.ceil(F.col("count") / F.lit(crowd)).cast("int").alias("parts"))
+            one = F.coalesce(F.col("parts"), F.lit(1))
+            keys_l = keys_l.join(crowded, "k", "left").select("l", "k", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+            keys_r = keys_r.join(crowded, "k", "left").select("r", "k", F.pmod(F.xxhash64("r"), one).cast("int").alias("part"))
+            pairs = keys_l.join(keys_r, ["k", "part"]).select("l", "r")
+        else:
             crowded = keys_r.groupBy("k").count().where(F.col("count") > crowd).select("k", F.lit(True).alias("crowded"))
             split = lambda d: d.join(crowded, "k", "left").withColumn("f", F.explode(F.when(F.col("crowded"), F.col("f")).otherwise(F.array(F.lit(-1).cast("bigint")))))
             keys_l, keys_r = split(keys_l), split(keys_r)
             pairs = keys_l.join(keys_r, ["k", "f"]).select("l", "r")
-        else:
-            pairs = keys_l.join(keys_r, "k").select("l", "r")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 

@@ -105,20 +105,12 @@ def _named(one: Column, many: Column, typed: Column | None = None) -> Column:
     )
 
 
-def _cells(rot: Column) -> tuple[Column, Column]:
-    bin_of = lambda c, k: F.pmod(F.floor(c / 2.0) + k, F.lit(90)).cast("bigint")
-    all_bins = F.sequence(F.lit(0).cast("bigint"), F.lit(89).cast("bigint"))
-    left = F.when(F.col("rot").isNull(), all_bins).otherwise(F.array(*(bin_of(F.col("rot"), k) for k in (-1, 0, 1))))
-    right = F.when(F.col("rot_lib").isNull(), all_bins).otherwise(F.array(bin_of(F.col("rot_lib"), 0)))
-    return left, right
-
-
 def link_targets(schedule: DataFrame, library: DataFrame, spread: float = 0.9, crowd: int = 200) -> DataFrame:
     """All scored candidate pairs: l (scheduler id), r (target_id), the levels, sep_deg and confidence.
 
     Passes: designation, common name, either with one typing error, and place
     within ``spread`` of the field's half diagonal. Names that many library rows
-    share are refined by rotation. Levels: designation and common name
+    share are dealt into parts. Levels: designation and common name
     (equal, a typing error, unlike; pairs with no name to compare have a model of their own), place (on the centre, well inside, inside,
     outside), rotation modulo a half turn (agreeing within 1.5 degrees at an
     angle of its own, agreeing at zero, which many fields have, or unlike). A row
@@ -133,7 +125,7 @@ def link_targets(schedule: DataFrame, library: DataFrame, spread: float = 0.9, c
     cuts = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(K.deletions(F.col(c)))
     many_cuts = lambda c: F.flatten(F.transform(F.col(c), K.deletions))
     passes = [(one("des"), F.col("deses")), (one("com"), F.col("coms")), (F.concat(cuts("des"), cuts("des_typed")), many_cuts("deses")), (cuts("com"), many_cuts("coms")), (cuts("full"), many_cuts("fulls"))]
-    pairs = K.candidate_pairs(left, right, passes, near, crowd, _cells(F.col("rot")))
+    pairs = K.candidate_pairs(left, right, passes, near, crowd)
     full = pairs.join(left, "l").join(right, "r")
     sep = F.least(S.angle(F.col("v_hours"), F.col("c")), S.angle(F.col("v_degrees"), F.col("c")))
     full = full.withColumn("sep_deg", F.degrees(sep))

@@ -87,6 +87,18 @@ def test_crowded_key_is_refined(spark):
     assert K.candidate_pairs(left, right, [(F.array("k"), F.array("k"))], None, 100, refine).count() == 30 * 40
 
 
+def test_crowded_names_keep_all_pairs(spark):
+    # a third of the library shares a name; targets without a position and with another rotation are found by it alone
+    sched, lib, _ = made(5, 40)
+    lib += [(5000 + i, ["abc 77", "Pale Otter Nebula"], 3.0 * i, 10.0, [40.0, 30.0], 10.0, None) for i in range(20)]
+    sched += [(7000, "ABC 77", None, None, 60.0, None), (7001, "abc_77", 0.0, 0.0, 99.0, None)]
+    s, b = frames(spark, sched, lib)
+    norm = lambda df: {(r["l"], r["r"]): round(r["confidence"], 9) for r in df.collect()}
+    few, many = norm(T.link_targets(s, b, crowd=5)), norm(T.link_targets(s, b, crowd=1000))
+    assert few == many
+    assert all((l, 5000 + i) in few for l in (7000, 7001) for i in range(20))
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     sched, lib, truth = made(2, 20)
     nulls = [(None, None, None, None, None, None), (9000, None, None, None, None, None), (9001, "", 1.0, 95.0, None, None), (9002, "x" * 20_000, 1.0, 1.0, 1.0, None)]
