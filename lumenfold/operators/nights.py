@@ -51,14 +51,29 @@ def local_night(at: Column, zone: str) -> Column:
     return F.to_date(wall - F.make_dt_interval(hours=F.lit(12)))
 
 
-def fold(deliveries: DataFrame) -> DataFrame:
-    """State of each event from its deliveries: the arrival of the first one and the latest revision.
+def _dated(deliveries: DataFrame) -> DataFrame:
+    """Deliveries that have a night, with source and key as they are compared."""
+    rows = deliveries.where(F.col("at").isNotNull() & F.col("received_at").isNotNull())
+    rows = rows.withColumns({"source": folded("source"), "key": folded("key")})
+    return rows.where(F.col("source").isNotNull() & F.col("key").isNotNull())
+
+
+def diverted(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
+    """The deliveries that arrived after the limit of their night, whether their event was known in time or not."""
+    rows = _dated(deliveries).where(F.col("received_at") > clock.limit(F.col("at")))
+    return rows.select("delivery_id", clock.night(F.col("at")).alias("night"), "source", "key", "received_at")
+
+
+def fold(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
+    """State of each event from its deliveries: the arrival of the first one and the latest revision that came within the limit.
 
     ``deliveries`` needs source, key, seq, at, received_at, delivery_id and data.
     Events without source, key or ``at`` have no night and are left out (see
     :func:`undated`). Among revisions the highest ``seq`` counts (null lowest),
     then one that carries hours, then the earliest arrival, then the smallest
-    ``delivery_id``. Combined on the map side, so hot events need no salt.
+    ``delivery_id``. A delivery after its night's limit counts as an arrival
+    only and leaves the revision as it is (see :func:`diverted`). Combined on
+    the map side, so hot events need no salt.
     """
     hours = F.get_json_object("data", "$.hours").try_cast("double")
     frames = F.get_json_object("data", "$.frames").try_cast("bigint")
@@ -70,9 +85,8 @@ def fold(deliveries: DataFrame) -> DataFrame:
         hours.alias("hours"),
         frames.alias("frames"),
     )
-    rows = deliveries.where(F.col("at").isNotNull() & F.col("received_at").isNotNull())
-    rows = rows.select(folded("source").alias("source"), folded("key").alias("key"), "at", F.col("received_at").alias("first_received"), rev.alias("latest"))
-    return merge(rows.where(F.col("source").isNotNull() & F.col("key").isNotNull()))
+    latest = F.when(F.col("received_at") <= clock.limit(F.col("at")), rev)
+    return merge(_dated(deliveries).select("source", "key", "at", F.col("received_at").alias("first_received"), latest.alias("latest")))
 
 
 def merge(states: DataFrame) -> DataFrame:
@@ -100,6 +114,6 @@ def totals(classified: DataFrame) -> DataFrame:
 
 
 def dropped(classified: DataFrame) -> DataFrame:
-    """The late records that were diverted, counted by night and source with the greatest delay."""
+    """The events that never came within the limit, counted by night and source with the last first arrival; all late deliveries are in :func:`diverted`."""
     late = classified.where("arrival = 'dropped'")
     return late.groupBy("night", "source").agg(F.count("*").alias("events"), F.max("first_received").alias("last_received"))

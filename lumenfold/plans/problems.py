@@ -58,10 +58,16 @@ def p1_nights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p1_dropped", EVENTS_SQL + "select night, source, count(*) as events, max(first_received) as last_received from k where arrival = 'dropped' group by 1, 2")
 def p1_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    """Late records that were diverted."""
+    """Events that never came within the limit."""
     return _stream(spark, sf, emit=True).late()
 
 
+@query("p1_diverted", EVENTS_SQL + "select delivery_id, night, d.source, d.key, d.r as received_at from d join c on d.source = c.source and d.key = c.key where epoch_us(d.r) - (day_no * 24 + 43) * 3600000000 > 72 * 3600000000")
+def p1_diverted(spark: SparkSession, sf: str) -> DataFrame:
+    """Late deliveries that were diverted, also those of events known in time."""
+    return _stream(spark, sf, emit=True).diverted()
+
+
 # ------------------------------------------------------------ repeated messages
 
 MESSAGE_SQL = r"""

@@ -3,7 +3,8 @@
 Each micro-batch is folded into keyed state, appended as a delta of its own
 (the fold is associative, so the state is the merge of its deltas), and the
 nights it touched are emitted again in full: an upsert by ``night``, the newest
-batch wins. Writes go to a folder named by the batch, so a batch that is run
+batch wins. Deliveries after the limit of their night change no state and are
+written out by themselves. Writes go to a folder named by the batch, so a batch that is run
 again after a failure replaces its own output and nothing else.
 """
 
@@ -39,21 +40,22 @@ class NightStream:
     def run(self, path: str, max_files: int | None = None, emit: bool = True) -> "NightStream":
         """Take in everything that has arrived at ``path`` since the last run, then stop.
 
-        The watermark runs on arrival: sender clocks may be ahead, so event time
-        can't close a night. With ``emit=False`` only the state is kept.
+        Each delivery's arrival is compared with the limit of its own night:
+        sender clocks may be ahead, so event time can't close a night. With
+        ``emit=False`` only the state is kept.
         """
         schema = T.StructType([f for f in self.spark.read.parquet(path).schema if f.name in NEEDED])
         source = self.spark.readStream.schema(schema)
         if max_files:
             source = source.option("maxFilesPerTrigger", max_files)
-        stream = source.parquet(_as_glob(self.spark, path)).withWatermark("received_at", f"{self.clock.lateness_hours} hours")
+        stream = source.parquet(_as_glob(self.spark, path))
         upsert = self._upsert if emit else self._append
         query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{self.work}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
         return self
 
     def _append(self, batch: DataFrame, batch_id: int) -> None:
-        delta = N.classify(N.fold(batch), self.clock)
+        delta = N.classify(N.fold(batch, self.clock), self.clock)
         # a month is a part: few files, and a touched night reads one; rebalance splits a month that is too large for a task
         parts = delta.drop("arrival").withColumn("month", F.substring("night", 1, 7)).hint("rebalance", "month")
         parts.write.mode("overwrite").partitionBy("month").parquet(f"{self.work}/state/batch={batch_id}")
@@ -67,6 +69,7 @@ class NightStream:
         N.totals(seen).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.work}/nights/b{batch_id}")
         late = N.dropped(seen).withColumn("batch", F.lit(batch_id))
         late.write.mode("overwrite").parquet(f"{self.work}/late/b{batch_id}")
+        N.diverted(batch, self.clock).write.mode("overwrite").parquet(f"{self.work}/diverted/b{batch_id}")
 
     def _state_files(self, batch_id: int | None = None) -> DataFrame:
         df = self.spark.read.option("basePath", f"{self.work}/state").parquet(f"{self.work}/state" + ("" if batch_id is None else f"/batch={batch_id}"))
@@ -87,3 +90,7 @@ class NightStream:
 
     def late(self) -> DataFrame:
         return self._latest("late")
+
+    def diverted(self) -> DataFrame:
+        """Every delivery that came after the limit of its night."""
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.work}/diverted")

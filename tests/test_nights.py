@@ -87,6 +87,25 @@ def test_stream_in_micro_batches_equals_one_run(spark, tmp_path):
     assert stream.state().where(F.col("key") == "late").count() == 1
 
 
+def test_late_revision_is_diverted(spark, tmp_path):
+    at = dt.datetime(2024, 3, 2, 3, tzinfo=UTC)
+    limit = dt.datetime(2024, 3, 5, 19, tzinfo=UTC)
+    us = dt.timedelta(microseconds=1)
+    data = lambda h: json.dumps({"hours": h, "frames": 1})
+    rs = [
+        (1, "s", "a", 1, at, at, data(1.0), None), (2, "S ", "A", 2, at, limit, data(2.0), None), (3, "s", "a", 3, at, limit + us, data(4.0), None),
+        (4, "s", "b", 1, at, limit + us, data(8.0), None), (5, "s", "c", None, at, at, data(16.0), None), (6, "s", "c", 9, at, limit + us, None, None),
+    ]
+    src = str(tmp_path / "in")
+    for i in (5, 2, 0, 1, 3, 4):
+        spark.createDataFrame(rs[i : i + 1], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = NightStream(spark, str(tmp_path / "work")).run(src, max_files=2)
+    night = stream.nights().collect()
+    assert [(r["events"], r["hours"], r["frames"]) for r in night] == [(2, 18.0, 2)]
+    assert sorted((r["delivery_id"], r["source"], r["key"]) for r in stream.diverted().collect()) == [(3, "s", "a"), (4, "s", "b"), (6, "s", "c")]
+    assert [(r["source"], r["events"]) for r in stream.late().collect()] == [("s", 1)]
+
+
 def test_local_nights_on_days_of_clock_changes(spark):
     from zoneinfo import ZoneInfo
 
