@@ -36,14 +36,15 @@ k as (select *, case when late_us <= 0 then 'on_time' when late_us <= 72 * 36000
 """
 
 
-def _stream(spark: SparkSession, sf: str, emit: bool) -> NightStream:
-    return NightStream(spark).run(f"{sf}/activity_log.parquet", emit=emit)
+def _stream(spark: SparkSession, sf: str) -> NightStream:
+    """The whole stream in micro-batches of a few files, with its upserts and diverted records."""
+    return NightStream(spark).run(f"{sf}/activity_log.parquet", max_files=4)
 
 
 @query("p1_found", EVENTS_SQL + "select night, source, key from k where arrival = 'correction'")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Events that correct a night already closed: the stream's keyed state after everything has arrived."""
-    return _stream(spark, sf, emit=False).state().where("arrival = 'correction'").select("night", "source", "key")
+    return _stream(spark, sf).state().where("arrival = 'correction'").select("night", "source", "key")
 
 
 @query(
@@ -53,19 +54,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 )
 def p1_nights(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and hours per night as last upserted."""
-    return _stream(spark, sf, emit=True).nights()
+    return _stream(spark, sf).nights()
 
 
 @query("p1_dropped", EVENTS_SQL + "select night, source, count(*) as events, max(first_received) as last_received from k where arrival = 'dropped' group by 1, 2")
 def p1_dropped(spark: SparkSession, sf: str) -> DataFrame:
     """Events that never came within the limit."""
-    return _stream(spark, sf, emit=True).late()
+    return _stream(spark, sf).late()
 
 
 @query("p1_diverted", EVENTS_SQL + "select delivery_id, night, d.source, d.key, d.r as received_at from d join c on d.source = c.source and d.key = c.key where epoch_us(d.r) - (day_no * 24 + 43) * 3600000000 > 72 * 3600000000")
 def p1_diverted(spark: SparkSession, sf: str) -> DataFrame:
     """Late deliveries that were diverted, also those of events known in time."""
-    return _stream(spark, sf, emit=True).diverted()
+    return _stream(spark, sf).diverted()
 
 
 # ------------------------------------------------------------ repeated messages

@@ -106,6 +106,19 @@ def test_late_revision_is_diverted(spark, tmp_path):
     assert [(r["source"], r["events"]) for r in stream.late().collect()] == [("s", 1)]
 
 
+def test_found_runs_the_upserts(spark, tmp_path, monkeypatch):
+    from lumenfold.plans import problems
+
+    ran = []
+    upsert = NightStream._upsert
+    monkeypatch.setattr(NightStream, "_upsert", lambda self, batch, i: (ran.append(i), upsert(self, batch, i)))
+    rs = rows(3)
+    for i in range(6):
+        spark.createDataFrame(rs[i::6], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "activity_log.parquet"))
+    got = {tuple(r) for r in problems.p1_found(spark, str(tmp_path)).collect()}
+    assert got == brute(rs)["correction"] and len(ran) == 2
+
+
 def test_local_nights_on_days_of_clock_changes(spark):
     from zoneinfo import ZoneInfo
 
