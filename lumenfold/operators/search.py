@@ -111,6 +111,9 @@ def chip_matches(chips: list[str], logic: str, least_hours: float) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key under which numbers in names compare by value: digits padded to one length."""
+    """Sort key under which numbers in names compare by value: digits without leading zeros, after their count."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    # a count of ten digits holds any length of a text
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")

@@ -111,3 +111,10 @@ def test_targets_by_name_sorts_all_names(spark, tmp_path):
     want = sorted(range(len(names)), key=lambda i: (natural(names[i]), i))[:200]
     got = sorted((r["place"], r["target_id"]) for r in targets_by_name(spark, str(tmp_path)).collect())
     assert got == list(enumerate(want, 1))
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["m 0", "m 007", "m 12", "m 1000000000001", "m 1000000000002", "m 10000000000010", "m 20000000000001"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "n string")
+    assert [r[0] for r in df.orderBy(Q.natural_key(F.col("n")), "n").collect()] == names
+    assert df.select(Q.natural_key(F.col("n"))).distinct().count() == len(names)
