@@ -1,10 +1,11 @@
 """Pages of repeated keywords, links, tags or offers instead of sentences.
 
-Every word is judged by the words round it: where a lag window holds several
-unlike function words, somebody wrote sentences. What is left is measured for
-how regularly its terms come back (recurrence gaps, positional
-autocorrelation), for marks of links, tags and offers, and for being a list of
-nouns without function words at all.
+Two signals are measured round every word of a page. How its terms come back:
+the gaps to the word's own recurrences, and the autocorrelation of positions
+over all lags of a window, which is high only where a few terms return again
+and again at unlike distances (a sentence that is said twice returns at one
+lag only). And how bare it is: a list of many nouns without function words. A
+word stands in stuffing if it is regular repetition, or part of a bare list.
 """
 
 from __future__ import annotations
@@ -32,34 +33,33 @@ le la les des du et est une dans pour pas que qui sur avec au aux ce cette ne pl
 se son sa ses leur ou où
 """.split()
 
-# fixed values: phrases of offers, and mark-up of links, that hold function words of their own
-OFFER = re.compile(r"add to cart|in stock|free shipping|pas cher|</?a\b(?:\s+href=)?", re.I)
-LINK = re.compile(r"https?://|www\.|\]\(|<a\s+href", re.I)
-TAG = re.compile(r"(?:^|\s)(?:#\w[\w-]*|tag:\w[\w-]*|\[\w[\w-]*\](?!\())|(?:^|,\s)[\w]+[-_][\w-]+(?=,)")
-PRICE = re.compile(r"(?:€|\$|\bEUR|\bUSD|£)\s?\d|\bSKU\w+|-\d+%")
-#: Words; parts joined by a hyphen or underscore are one.
-WORD = re.compile(r"[^\W\d_]+(?:[-_][^\W\d_]+)*")
+#: Words and numbers; parts joined by a hyphen or underscore are one.
+WORD = re.compile(r"[^\W_]+(?:[-_][^\W_]+)*")
 NUMERIC = re.compile(r"^[\s\d.:+/TZ-]*\d[\s\d.:+/TZ-]*$")
 HEADER = re.compile(r"^[A-Z][A-Z0-9_-]{0,8}\s*=")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters: the lag window in words, what makes it prose, and when a page counts."""
+    """Parameters. ``lag``: words within which a term comes back; ``half``: words to either side that are measured with a word.
+
+    A word is repetition if the autocorrelation over the lags reaches ``echo``,
+    a share of ``back`` of the words round it come back, and at most
+    ``sentence`` of them are function words. It is in a bare list if at most
+    ``bare`` of them are. Without ``function_words`` only repetition counts. A
+    page counts if more than ``share`` of its words, and ``least_words`` at
+    least, stand in stuffing.
+    """
 
     lag: int = 24
-    spread: int = 8
-    unlike: int = 3
-    block_words: int = 8
-    least_words: int = 20
+    half: int = 16
+    echo: float = 0.05
+    back: float = 0.4
+    sentence: float = 0.3
+    bare: float = 0.17
     share: float = 0.5
-    recurring: float = 0.35
-    echo: float = 0.25
-    marks: float = 0.04
-    bare: float = 0.10
-
-
-_GROUP = {w: 1 << (i % 62) for i, w in enumerate(dict.fromkeys(FUNCTION_WORDS))}
+    least_words: int = 20
+    function_words: frozenset[str] = frozenset(FUNCTION_WORDS)
 
 
 def _is_record(line: str) -> bool:
@@ -70,106 +70,82 @@ def _is_record(line: str) -> bool:
     return len(fields) >= 3 and sum(bool(NUMERIC.match(f)) for f in fields) >= 2
 
 
-def blocks_of(text: str, rules: Rules) -> tuple[list[list[str]], int]:
-    """Blocks of words, lines of few words being joined, and the number of words in records."""
-    blocks: list[list[str]] = []
-    short: list[str] = []
+def terms_of(text: str) -> tuple[list[str], int]:
+    """The words of a page in order, and the number of further words that stand in records."""
+    words: list[str] = []
     records = 0
-    for line in OFFER.sub(" ", text).split("\n"):
-        words = WORD.findall(line.lower())
-        if not words:
-            continue
-        if _is_record(line):
-            records += len(words)
-        elif len(words) < rules.block_words:
-            short += words
+    for line in text.split("\n"):
+        found = WORD.findall(line.lower())
+        if found and _is_record(line):
+            records += len(found)
         else:
-            if short:
-                blocks.append(short)
-                short = []
-            blocks.append(words)
-    if short:
-        blocks.append(short)
-    return blocks, records
-
-
-def _or_window(x: np.ndarray, size: int) -> np.ndarray:
-    """Bitwise or over the windows that begin at each place."""
-    out, have = x, 1
-    while have < size:
-        step = min(have, size - have)
-        shifted = np.zeros_like(out)
-        shifted[: len(out) - step] = out[step:]
-        out, have = out | shifted, have + step
-    return out
-
-
-def prose_words(blocks: list[list[str]], rules: Rules) -> np.ndarray:
-    """For each word of each block, in order, whether sentences stand round it."""
-    gap = 2 * rules.lag
-    sizes = [len(b) for b in blocks]
-    starts = np.cumsum([gap, *(n + gap for n in sizes)])[: len(sizes)]
-    bits = np.zeros(int(sum(sizes) + gap * (len(sizes) + 1)), np.int64)
-    get = _GROUP.get
-    for at, b in zip(starts, blocks):
-        bits[at : at + len(b)] = [get(w, 0) for w in b]
-    half = rules.lag // 2
-    count = np.bitwise_count(_or_window(bits, rules.lag)).astype(np.int8)
-    centred = np.zeros_like(count)
-    centred[half:] = count[:-half]
-    need = np.full(len(bits), rules.unlike, np.int8)
-    for at, n in zip(starts, sizes):
-        if n < 14:
-            need[at - gap // 2 : at + n + gap // 2] = 1 if n < rules.block_words else min(2, rules.unlike)
-    prose = (centred >= need).astype(np.int64)
-    wide = _or_window(prose, 2 * rules.spread + 1)
-    spread = np.zeros_like(wide)
-    spread[rules.spread :] = wide[: len(wide) - rules.spread]
-    place = np.concatenate([np.arange(at, at + n) for at, n in zip(starts, sizes)]) if blocks else np.empty(0, np.int64)
-    return spread[place] > 0
-
-
-def recurrence(words: list[str], lag: int) -> tuple[float, float]:
-    """Share of words that came back within the lag, and the greatest share that equals the word a fixed lag before."""
+            words += found
+    return words, records
+
+
+def _around(x: np.ndarray, half: int) -> np.ndarray:
+    """Sum of ``x`` over the places up to ``half`` away, at each place."""
+    n = len(x)
+    sums = np.concatenate([[0], np.cumsum(x)])
+    at = np.arange(n)
+    return sums[np.minimum(at + half + 1, n)] - sums[np.maximum(at - half, 0)]
+
+
+def returns(words: list[str], lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, how many of the ``lag`` words before are the same term, and whether the gap to its next or last recurrence is within ``lag``."""
     n = len(words)
-    if n < 2:
-        return 0.0, 0.0
-    ids = np.unique(np.array(words, object).astype(str), return_inverse=True)[1]
+    numbers: dict[str, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
     order = np.argsort(ids, kind="stable")
-    gaps = np.diff(order)
-    back = int(((gaps <= lag) & (np.diff(ids[order]) == 0)).sum()) / n
-    echo = max((float((ids[k:] == ids[:-k]).mean()) for k in range(1, min(lag, n - 1) + 1)), default=0.0)
-    return back, echo
+    key = ids[order] * (n + lag + 1) + order
+    before = np.empty(n, np.int64)
+    before[order] = np.arange(n) - np.searchsorted(key, key - lag)
+    close = np.diff(key) <= lag
+    back = np.zeros(n, bool)
+    back[order[1:][close]] = True
+    back[order[:-1][close]] = True
+    return before, back
+
+
+@dataclass(frozen=True)
+class Found:
+    """Shares of all words: in stuffing, in repetition, in bare lists; the mean autocorrelation, recurrence and function words."""
+
+    share: float
+    repeated: float
+    bare: float
+    echo: float
+    back: float
+    function: float
+    words: int
 
 
-def judge(text: str | None, rules: Rules = Rules()) -> tuple[float, float, float, float, float] | None:
-    """Share of words outside sentences, recurrence, echo, marks a word and function words a word; None if too few words."""
+def judge(text: str | None, rules: Rules = Rules()) -> Found | None:
+    """What was measured on a page; None if it has too few words, or only records."""
     if not text:
         return None
-    blocks, records = blocks_of(text, rules)
-    total = sum(map(len, blocks)) + records
-    if total < rules.least_words or total == records:
+    words, records = terms_of(text)
+    n, total = len(words), len(words) + records
+    if total < rules.least_words or not n:
         return None
-    prose = prose_words(blocks, rules)
-    words = [w for b in blocks for w in b]
-    junk = len(words) - int(prose.sum())
-    if junk <= rules.share * total or junk < rules.least_words:
-        return junk / total, 0.0, 0.0, 0.0, 1.0
-    outside = [w for w, p in zip(words, prose.tolist()) if not p]
-    back, echo = recurrence(outside, rules.lag)
-    marks = (len(LINK.findall(text)) + len(TAG.findall(text)) + len(PRICE.findall(text))) / max(len(words), 1)
-    bare = sum(w in _GROUP for w in outside) / len(outside)
-    return junk / total, back, echo, marks, bare
+    before, back = returns(words, rules.lag)
+    lags = np.minimum(np.arange(n), rules.lag)
+    size = _around(np.ones(n), rules.half)
+    echo = _around(before, rules.half) / np.maximum(_around(lags, rules.half), 1)
+    again = _around(back, rules.half) / size
+    plain = np.fromiter((w in rules.function_words for w in words), bool, n)
+    function = _around(plain, rules.half) / size
+    repeated = (echo >= rules.echo) & (again >= rules.back) & (function <= rules.sentence)
+    bare = (function <= rules.bare) if rules.function_words else np.zeros(n, bool)
+    stuffed = int((repeated | bare).sum())
+    return Found(stuffed / total, float(repeated.sum() / total), float(bare.sum() / total), float(before.sum() / max(lags.sum(), 1)), float(back.mean()), float(plain.mean()), stuffed)
 
 
-def is_stuffed(found: tuple[float, float, float, float, float] | None, rules: Rules = Rules()) -> bool:
-    if found is None:
-        return False
-    share, back, echo, marks, bare = found
-    return share > rules.share and (back >= rules.recurring or echo >= rules.echo or marks >= rules.marks or bare <= rules.bare)
+def is_stuffed(found: Found | None, rules: Rules = Rules()) -> bool:
+    return found is not None and found.share > rules.share and found.words >= rules.least_words
 
 
-SCHEMA = "doc_id bigint, junk_share double, recurring double, echo double, marks double, function_share double"
+SCHEMA = "doc_id bigint, stuffed_share double, repeated_share double, bare_share double, echo double, recurring double, function_share double"
 
 
 def stuffed_pages(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -181,9 +157,10 @@ def stuffed_pages(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if is_stuffed(m := judge(t.as_py(), rules), rules)]
+            rows = [(d, m.share, m.repeated, m.bare, m.echo, m.back, m.function) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if is_stuffed(m := judge(t.as_py(), rules), rules)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "junk_share", "recurring", "echo", "marks", "function_share"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)

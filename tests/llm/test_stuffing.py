@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lumenfold.llm import stuffing as K
 
 PROSE = "The guide log has a spike every few minutes that matches the worm period of the mount, so I cleaned the gears and it was gone by the end of the night. "
@@ -36,29 +38,31 @@ def test_honest_pages():
         assert not case(short)
 
 
-def test_recurrence():
-    back, echo = K.recurrence(["a", "b"] * 20, 24)
-    assert back > 0.9 and echo == 1.0
-    assert K.recurrence([str(i) for i in range(40)], 24) == (0.0, 0.0)
-    assert K.recurrence([], 24) == (0.0, 0.0)
-
-
-def test_windows_against_plain_loops():
-    rnd = random.Random(2)
-    rules = K.Rules()
-    words = ["the", "and", "of", "wolden", "cap", "was", "it", "filter"]
-    for _ in range(40):
-        blocks = [[rnd.choice(words) for _ in range(rnd.randint(1, 70))] for _ in range(rnd.randint(1, 4))]
-        got = K.prose_words(blocks, rules).tolist()
-        want = []
-        for b in blocks:
-            n, half = len(b), rules.lag // 2
-            need = rules.unlike if n >= 14 else 1 if n < rules.block_words else 2
-            # windows may be centred a little beyond the block
-            reach = range(-rules.lag // 1, n + rules.lag)
-            good = {c for c in reach if len({w for w in b[max(0, c - half) : max(0, c - half + rules.lag)] if w in K._GROUP}) >= need}
-            want += [any(i + k in good for k in range(-rules.spread, rules.spread + 1)) for i in range(n)]
-        assert got == want
+def test_repetition_decides_without_function_words():
+    """With an empty word list recurrence and autocorrelation alone find the pages of repeated keywords, and take no sentences for them."""
+    rnd = random.Random(4)
+    bare = K.Rules(function_words=frozenset())
+    stuffed = lambda text: K.is_stuffed(K.judge(text, bare), bare)
+    places = ["Sandalwick", "Pellmoor", "Lower Asp", "Tarn Hollow", "Old Quarry", "Cold Fen", "Brackwater", "Merrin Lake"]
+    pages = [lists(rnd, sep, 80) for sep in (", ", " | ", "\n", " / ", " ") for _ in range(8)]
+    pages += [sep.join(rnd.choice(["dew strap in {}", "{} dew strap", "buy dew strap {}"]).format(rnd.choice(places)) for _ in range(50)) for sep in (", ", "\n", ". ") for _ in range(8)]
+    assert sum(map(stuffed, pages)) >= 0.95 * len(pages)
+    sentences = [PROSE, "Whoever sets the offset by hand has to write it down, because no header keeps it. ", "Three panels were shot before clouds came in from the west and ended the session. ", "A longer dither settled every walking pattern that my old stacks had shown. "]
+    assert not any(stuffed("".join(rnd.choice(sentences) for _ in range(rnd.randint(3, 12)))) for _ in range(40))
+
+
+def test_returns_against_plain_loops():
+    rnd = random.Random(5)
+    for _ in range(30):
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60))]
+        lag = rnd.randint(1, 12)
+        before, back = K.returns(words, lag)
+        assert before.tolist() == [words[max(0, i - lag) : i].count(w) for i, w in enumerate(words)]
+        assert back.tolist() == [w in words[max(0, i - lag) : i] + words[i + 1 : i + 1 + lag] for i, w in enumerate(words)]
+        half = rnd.randint(0, 9)
+        x = [rnd.random() for _ in words]
+        got = K._around(np.array(x), half).tolist()
+        assert all(abs(g - sum(x[max(0, i - half) : i + half + 1])) < 1e-9 for i, g in enumerate(got))
 
 
 def test_frame(spark):
