@@ -9,9 +9,10 @@ finds its place from its length and its rank among the texts of that length.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -47,26 +48,56 @@ class Bins:
     room: int
 
 
-def open_size(length: int, smaller: int, sizes: Sequence[int], cost: Callable[[int], float]) -> int:
-    """The permitted size that costs least for each token it can hold: of this item and of the ``smaller`` tokens still to come."""
-    fit = [s for s in sizes if s >= length]
-    return min(fit, key=lambda s: (cost(s) / min(s, length + smaller), s))
+def attention_cost(size: int, width: int = 4096) -> float:
+    """Cost of one sequence: its tokens, and the share of attention that grows with the square of the length at this model width."""
+    return size * (1 + size / (6 * width))
 
 
-def layout(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int], float] = lambda s: s + 64.0) -> tuple[list[Run], list[Bins]]:
+class Outlook:
+    """What is still to come and not yet promised to an open bin: the fillings that new bins may hope for."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = dict(histogram)
+        self.lengths = sorted(histogram)
+
+    def take(self, length: int, n: int) -> None:
+        if length in self.left:
+            self.left[length] -= n
+            if self.left[length] <= 0:
+                del self.left[length]
+                self.lengths.pop(bisect_left(self.lengths, length))
+
+    def filling(self, length: int, n: int, size: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """Tokens that a bin would hold whose first item is one of ``n`` of this length, each further item being the longest that fits; how many bins can be filled so; the items by length."""
+        each = min(n, size // length)
+        room, bins, items = size - each * length, n // each, []
+        i = bisect_left(self.lengths, length)
+        while room and (i := bisect_right(self.lengths, room, 0, i) - 1) >= 0:
+            fit = self.lengths[i]
+            k = min(self.left[fit], room // fit)
+            bins = min(bins, self.left[fit] // k)
+            items.append((fit, k))
+            room -= k * fit
+        return size - room, bins, items
+
+
+def layout(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int], float] = attention_cost, opened: Sequence[int] | None = None) -> tuple[list[Run], list[Bins]]:
     """Best-fit decreasing over a histogram of lengths, many equal bins at a time.
 
     Gives the runs of placed items and the groups of bins with their final,
     downsized permitted size. Items go the longest first, each into the bin with
-    the least room that holds it, a new bin only where none does; bins that one
-    length fills are opened together, at the size that was cheapest for the first.
+    the least room that holds it, a new bin only where none does. A new bin gets
+    that size among ``opened`` (all, if not given) whose outlook costs least a
+    token: what would fill it is looked up among the shorter items that no open
+    bin waits for, and as many bins are opened together as can be filled so.
     """
     sizes = sorted(sizes)
+    opened = sorted(opened or sizes)
     rooms: list[int] = []  # the rooms that occur, sorted
     by_room: dict[int, list[Bins]] = {}
     runs: list[Run] = []
     bins = 0
-    smaller = sum(k * n for k, n in histogram.items())
+    outlook = Outlook(histogram)
 
     def put(g: Bins) -> None:
         if g.room not in by_room:
@@ -93,6 +124,7 @@ def layout(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int]
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
+        outlook.take(length, left)
         while left:
             i = bisect_left(rooms, length)
             if i < len(rooms):
@@ -102,13 +134,16 @@ def layout(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int]
                     del by_room[room]
                     rooms.pop(i)
             else:
-                # the smaller tokens that are to come fill the new bins; as many are opened as this length fills
-                size = open_size(length, smaller - length, sizes, cost)
-                n = max(1, left // (size // length))
+                fit = [s for s in opened if s >= length] or [next(s for s in sizes if s >= length)]
+                hopes = {s: outlook.filling(length, left, s) for s in fit}
+                size = min(fit, key=lambda s: (cost(s) / hopes[s][0], s))
+                _, n, items = hopes[size]
+                for fitting, k in items:
+                    outlook.take(fitting, k * n)
                 group = Bins(bins, n, size, size)
                 bins += n
             placed = fill(group, length, rank, left)
-            rank, left, smaller = rank + placed, left - placed, smaller - placed * length
+            rank, left = rank + placed, left - placed
     closed = []
     for groups in by_room.values():
         for g in groups:
@@ -117,6 +152,22 @@ def layout(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int]
     return runs, sorted(closed, key=lambda g: g.first)
 
 
+def mixes(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int], float] = attention_cost) -> dict[tuple[int, ...], tuple[float, list[Run], list[Bins]]]:
+    """The layout and its whole cost for each set of sizes in which bins may be opened; the permitted sizes are few."""
+    found = {}
+    for n in range(1, len(sizes) + 1):
+        for opened in combinations(sorted(sizes), n):
+            if max(opened) == max(sizes):
+                runs, groups = layout(histogram, sizes, cost, opened)
+                found[opened] = (sum(g.n * cost(g.size) for g in groups), runs, groups)
+    return found
+
+
+def cheapest(histogram: dict[int, int], sizes: Sequence[int], cost: Callable[[int], float] = attention_cost) -> tuple[list[Run], list[Bins]]:
+    """The layout of the mix of sizes that costs least as a whole; among equal ones that of fewer sizes."""
+    return min(mixes(histogram, sizes, cost).values(), key=lambda m: m[0])[1:]
+
+
 def token_counts(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and number of tokens of each whole text; null texts count 0. Strings of special tokens are ordinary text."""
     with open(vocabulary, "rb") as f:
@@ -160,7 +211,12 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     return cuts.select("id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - start).alias("length"))
 
 
-def pack(counts: DataFrame, sizes: Sequence[int], cost: Callable[[int], float] = lambda s: s + 64.0) -> DataFrame:
+def histogram_of(items: DataFrame) -> dict[int, int]:
+    """Number of items by length: one entry a length, so bounded by the greatest size."""
+    return {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
+
+
+def pack(counts: DataFrame, sizes: Sequence[int], cost: Callable[[int], float] = attention_cost) -> DataFrame:
     """Place every text: id, piece, start, length, bin, offset, capacity and filled (the bin's size and contents).
 
     ``counts`` has id and tokens. Texts without tokens are placed nowhere. Ids
@@ -171,9 +227,7 @@ def pack(counts: DataFrame, sizes: Sequence[int], cost: Callable[[int], float] =
     """
     spark = counts.sparkSession
     items = cut(pieces(counts, max(sizes)))
-    # one entry a length: bounded by the greatest size
-    histogram = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
-    runs, groups = layout(histogram, sizes, cost)
+    runs, groups = cheapest(histogram_of(items), sizes, cost)
     if not runs:
         return items.select("id", "piece", "start", "length", *(F.lit(0).cast("bigint").alias(c) for c in ("bin", "offset", "capacity", "filled"))).where("false")
     runs.sort(key=lambda r: (r.length, r.rank))

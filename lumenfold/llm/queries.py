@@ -83,6 +83,35 @@ def p8_bins(spark: SparkSession, sf: str) -> DataFrame:
     return bins.groupBy("capacity").agg(F.count("*").alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.sum(F.col("capacity") - F.col("tokens")).alias("unused"))
 
 
+@query("p8_mixes")
+def p8_mixes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each mix of sizes to open bins in would cost: one row a mix, from the histogram of lengths."""
+    counts = packing.token_counts(read(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    histogram = packing.histogram_of(packing.pieces(counts, max(SIZES)))
+    rows = [("+".join(map(str, m)), float(total), sum(g.n for g in groups), sum(g.n * (g.size - g.room) for g in groups)) for m, (total, _, groups) in packing.mixes(histogram, SIZES).items()]
+    return spark.createDataFrame(rows, "mix string, cost double, bins bigint, unused bigint")
+
+
+@query("p8_invariants", sql.P8_INVARIANTS)
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What the layout must keep: every text with a token is placed, and nothing else breaks a rule."""
+    placed = _placed(spark, sf)
+    texts = placed.groupBy("id").agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces"), F.max(F.col("start") + F.col("length")).alias("end"))
+    texts = texts.agg(
+        F.count("*").alias("texts"),
+        F.count_if(F.col("tokens") != F.col("end")).alias("not_whole"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("tokens") / F.lit(max(SIZES)))).alias("cut_needlessly"),
+    )
+    bins = placed.groupBy("bin").agg(F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end"), F.max("filled").alias("filled"), F.min("capacity").alias("capacity"), F.max("capacity").alias("most"))
+    smaller = [F.when(F.col("tokens") <= s, F.lit(s)) for s in sorted(SIZES)]
+    bins = bins.agg(
+        F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"),
+        F.count_if((F.col("tokens") != F.col("end")) | (F.col("tokens") != F.col("filled"))).alias("overlapping"),
+        F.count_if((F.col("capacity") != F.coalesce(*smaller)) | (F.col("capacity") != F.col("most"))).alias("not_downsized"),
+    )
+    return texts.crossJoin(bins)
+
+
 @query("p9_found", sql.P9_FOUND)
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""

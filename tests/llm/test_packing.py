@@ -6,18 +6,17 @@ from lumenfold.llm import packing as P
 from lumenfold.llm.queries import VOCABULARY
 
 
-def item_by_item(lengths, sizes, cost=lambda s: s + 64.0):
-    bins, smaller = [], sum(lengths)
+def item_by_item(lengths, size):
+    """Best-fit decreasing, one item at a time, into bins of one size."""
+    bins = []
     for n in sorted(lengths, reverse=True):
         fit = [b for b in bins if b[1] >= n]
         if fit:
             b = min(fit, key=lambda b: b[1])
         else:
-            s = P.open_size(n, smaller - n, sizes, cost)
-            b = [s, s]
+            b = [size, size]
             bins.append(b)
         b[1] -= n
-        smaller -= n
     return sorted(s - room for s, room in bins)
 
 
@@ -43,11 +42,44 @@ def test_layout(seed):
     for g in groups:
         assert g.room <= g.size and g.size == min(s for s in sizes if s >= g.room)
     if len(sizes) == 1:
-        assert fills == item_by_item(lengths, sizes)
+        assert fills == item_by_item(lengths, sizes[0])
     # no two bins could have been one
     assert all(a + b > max(sizes) for a, b in zip(fills, fills[1:])) or len(fills) < 3 or len(sizes) > 1
 
 
+def lognormal(n, seed=1, most=8192):
+    rnd = random.Random(seed)
+    out = {}
+    for _ in range(n):
+        k = min(most, max(1, int(rnd.lognormvariate(5.5, 1.5))))
+        out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_sizes_are_used_jointly():
+    """All sizes are used, and the whole costs less than any mix of fewer and than bins of one size."""
+    sizes = (2048, 4096, 8192)
+    histogram = lognormal(20_000)
+    every = P.mixes(histogram, sizes)
+    assert set(every) == {(8192,), (2048, 8192), (4096, 8192), sizes}
+    runs, groups = P.cheapest(histogram, sizes)
+    by_size = {s: sum(g.n for g in groups if g.size == s) for s in sizes}
+    assert all(by_size.values())
+    total = sum(n * P.attention_cost(s) for s, n in by_size.items())
+    assert total == min(t for t, *_ in every.values()) and total < 0.9 * every[(8192,)][0]
+    tokens = sum(k * n for k, n in histogram.items())
+    assert tokens / sum(s * n for s, n in by_size.items()) > 0.98
+
+
+def test_large_bins_where_small_ones_waste():
+    """Items just over half of a small bin: the large one wastes less, and is opened although it costs more a token of room."""
+    _, groups = P.cheapest({1100: 7000}, (2048, 8192))
+    assert {g.size for g in groups} == {8192} and sum(g.n for g in groups) == 1000
+    _, groups = P.cheapest({2000: 7000}, (2048, 8192))
+    assert {g.size for g in groups} == {2048}
+    assert P.cheapest({}, (2048, 8192)) == ([], [])
+
+
 def check(spark, counts, sizes):
     rows = P.pack(spark.createDataFrame(counts, "id bigint, tokens bigint"), sizes).collect()
     by_id, by_bin = {}, {}
