@@ -1,9 +1,11 @@
 """Records whose fields drift between files: one table, and a report of each change.
 
-Reading enforces a target schema. A field that the schema doesn't name, or
-whose value doesn't fit its type, is kept as JSON in a rescue column, so
-nothing is lost. Fields that are approved later are replayed from the rescue
-column into typed columns.
+Reading enforces a target schema strictly. A field that the schema doesn't
+name, whose value is of another type, or that is null, is kept as JSON in a
+rescue column, so nothing is lost: which fields a record had, of which type and
+with which value, can be read off the table. The report of changes is made from
+it. Fields that are approved are then promoted: their rescued values are
+replayed, cast, into the typed columns.
 """
 
 from __future__ import annotations
@@ -60,29 +62,54 @@ def _typed(v: Column, kind: str) -> Column:
     return v.try_cast(kind)
 
 
+#: The name under which a record that can't be read is rescued whole.
+CORRUPT = "_corrupt"
+
+#: What a value of each column type is in JSON.
+KIND = {"string": "text", "double": "number", "bigint": "number", "boolean": "boolean", "array<bigint>": "list"}
+
+
+def _strict(v: Column, kind: str) -> Column:
+    """The value, if it is of exactly this type; null if anything would have to be cast."""
+    s = F.schema_of_variant(v)
+    if kind == "string":
+        return F.when(s == "STRING", v.try_cast("string"))
+    if kind == "boolean":
+        return F.when(s == "BOOLEAN", v.try_cast("boolean"))
+    if kind == "bigint":
+        return F.when(s == "BIGINT", v.try_cast("bigint"))
+    if kind == "double":
+        return F.when(s.rlike("^(BIGINT|DOUBLE|DECIMAL)"), v.try_cast("double"))
+    if kind == "array<bigint>":
+        return F.when(s == "ARRAY<BIGINT>", v.try_cast("array<bigint>"))
+    raise ValueError(f"no type for fields of {kind}")
+
+
 def ingest(raw: DataFrame, fields: list[Field], record: str = "record") -> DataFrame:
-    """Typed columns for the fields of exactly these names, the rest as JSON in ``_rescued``.
+    """Typed columns for the fields of exactly these names and types, the rest as JSON in ``_rescued``.
 
     Keeps the other columns of ``raw``; one that has a target field's name is
-    renamed with the prefix ``raw_``. A record that can't be read is rescued
-    whole under the name ``_corrupt``. A null field is a null column and isn't
-    rescued.
+    renamed with the prefix ``raw_``. Unknown fields, values of another type and
+    null fields are rescued as they are. A record that can't be read is rescued
+    whole under the name ``_corrupt``; a field that has this name itself is no
+    field of its file.
     """
     clash = {f.name for f in fields} | {RESCUED}
     others = [F.col(c).alias(f"raw_{c}" if c in clash else c) for c in raw.columns if c != record]
     df = raw.select(*others, _object(record).alias("__o"), F.col(record).alias("__text"))
-    typed = {f.name: _typed(F.try_element_at("__o", F.lit(f.name)), f.kind) for f in fields}
-    fits = F.create_map(*(x for f in fields for x in (F.lit(f.name), typed[f.name].isNotNull())))
-    null = lambda v: F.is_variant_null(v)
-    rest = F.map_filter("__o", lambda k, v: ~F.coalesce(F.try_element_at(fits, k), F.lit(False)) & ~null(v))
-    rescued = F.when(F.col("__o").isNull(), F.when(F.col("__text").isNotNull(), F.to_json(F.create_map(F.lit("_corrupt"), F.col("__text"))))).when(F.size(rest) > 0, F.to_json(rest))
-    return df.select(*(c for c in df.columns if not c.startswith("__")), *(v.alias(k) for k, v in typed.items()), rescued.alias(RESCUED))
+    typed = {f.name: _strict(F.try_element_at("__o", F.lit(f.name)), f.kind) for f in fields}
+    df = df.withColumns(typed)
+    df = df.withColumn("__fits", F.array_compact(F.array(*(F.when(F.col(f.name).isNotNull(), F.lit(f.name)) for f in fields))))
+    # the names are used twice, so the optimizer works them out once a record and not once a field of it
+    rest = F.when(F.size("__fits") == 0, F.col("__o")).otherwise(F.map_filter("__o", lambda k, v: ~F.array_contains("__fits", k)))
+    rescued = F.when(F.col("__o").isNull(), F.when(F.col("__text").isNotNull(), F.to_json(F.create_map(F.lit(CORRUPT), F.col("__text"))))).when(F.size(rest) > 0, F.to_json(rest))
+    return df.withColumn(RESCUED, rescued).drop("__o", "__text", "__fits")
 
 
 def promote(table: DataFrame, fields: list[Field]) -> DataFrame:
     """Replay rescued values into typed columns: the approved aliases of each field, in order, where the column is null.
 
-    What was replayed leaves the rescue column; what still doesn't fit stays.
+    What was replayed leaves the rescue column, and so do nulls; what still doesn't fit stays.
     """
     df = table.withColumn("__r", _object(RESCUED))
     columns, used = {}, []
@@ -94,7 +121,7 @@ def promote(table: DataFrame, fields: list[Field]) -> DataFrame:
             value = F.coalesce(value, old)
         columns[f.name] = value
     df = df.withColumn("__used", F.array_compact(F.array(*used))) if used else df.withColumn("__used", F.array().cast("array<string>"))
-    left = F.map_filter("__r", lambda k, v: ~F.array_contains("__used", k))
+    left = F.map_filter("__r", lambda k, v: ~F.array_contains("__used", k) & ~F.is_variant_null(v))
     df = df.withColumns(columns | {RESCUED: F.when(F.col("__r").isNull(), F.col(RESCUED)).when(F.size(left) > 0, F.to_json(left))})
     return df.drop("__r", "__used")
 
@@ -112,21 +139,51 @@ def _kind(v: Column) -> Column:
     )
 
 
-def field_changes(raw: DataFrame, identity: str = "guid") -> DataFrame:
-    """Changes of each file's top-level fields against the file before it in its feed.
+def _plain_number(v: Column) -> Column:
+    """A number as text: equal numbers give equal texts, whether they were written whole or with a fraction."""
+    whole = (F.abs(v) < 2.0**53) & (v == F.floor(v))
+    return F.when(whole, v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
+def _value(v: Column, kind: Column) -> Column:
+    """A rescued value as text; equal values of a kind give equal texts."""
+    number = F.when(F.schema_of_variant(v) == "BIGINT", v.try_cast("string")).otherwise(_plain_number(v.try_cast("double")))
+    return F.concat(kind, F.lit(" "), F.when(kind == "number", number).otherwise(F.to_json(v)))
+
+
+def _typed_value(f: Field) -> Column:
+    """The same of a typed column."""
+    c = F.col(f.name)
+    text = _plain_number(c) if f.kind == "double" else F.to_json(F.to_variant_object(c)) if f.kind.startswith("array") else c.cast("string") if KIND[f.kind] != "text" else F.to_json(F.to_variant_object(F.array(c)))
+    if KIND[f.kind] == "text":
+        text = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.concat(F.lit(KIND[f.kind] + " "), text)
+
+
+def field_changes(table: DataFrame, fields: list[Field], identity: str = "guid") -> DataFrame:
+    """Changes of each file's top-level fields against the file before it in its feed, from an ingested table.
 
-    ``raw`` has feed, file_seq and record. Gives feed, file_seq, change
-    (added, removed, renamed, retyped), old_field and new_field (empty where
-    there is none). Files are ordered by ``file_seq`` alone; rows without feed
-    or file_seq belong to no file, and records that can't be read have no
-    fields. A field is retyped if the commonest type of its non-null values
-    differs (ties: the first by name). A rename pairs the gone with the new
-    field that agree in most targets, each field once; ties go to the names.
-    Records that are repeated count by target, not by row.
+    ``table`` is what :func:`ingest` made (not yet promoted), with feed and
+    file_seq; a typed column holds a field of its type, everything else is in
+    the rescue column. It is read three times, so it should be a written one.
+    Gives feed, file_seq, change (added, removed, renamed, retyped), old_field
+    and new_field (empty where there is none). Files are ordered by
+    ``file_seq`` alone; rows without feed or file_seq belong to no file, and
+    records that can't be read have no fields. A field is retyped if the
+    commonest type of its non-null values differs (ties: the first by name). A
+    rename pairs the gone with the new field that agree in most targets, each
+    field once; ties go to the names. Records that are repeated count by
+    target, not by row.
     """
-    raw = raw.where("feed is not null and file_seq is not null").select("feed", F.col("file_seq").cast("bigint").alias("file_seq"), F.col("record").alias("__rec"))
-    entries = raw.select("feed", "file_seq", F.explode(_object("__rec")).alias("field", "v"))
-    counts = entries.groupBy("feed", "file_seq", "field", _kind(F.col("v")).alias("kind")).count()
+    raw = table.where("feed is not null and file_seq is not null").withColumn("file_seq", F.col("file_seq").cast("bigint"))
+    names = [f.name for f in fields]
+    # typed columns are counted in place; only what was rescued is taken apart
+    typed = raw.groupBy("feed", "file_seq").agg(*(F.count(n).alias(f"__n{i}") for i, n in enumerate(names)))
+    one = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(KIND[f.kind]).alias("kind"), F.col(f"__n{i}").alias("count")) for i, f in enumerate(fields)))
+    typed = typed.select("feed", "file_seq", F.inline(one)).where("count > 0")
+    rescued = raw.where(F.col(RESCUED).isNotNull()).select("feed", "file_seq", F.explode(_object(RESCUED)).alias("field", "v")).where(F.col("field") != CORRUPT)
+    counts = typed.unionByName(rescued.groupBy("feed", "file_seq", "field", _kind(F.col("v")).alias("kind")).count())
+    counts = counts.groupBy("feed", "file_seq", "field", "kind").agg(F.sum("count").alias("count"))
     # a file's fields are few; from here on rows are fields of files, not records
     best = F.min_by("kind", F.when(F.col("kind").isNotNull(), F.struct((-F.col("count")).alias("n"), F.col("kind").alias("k"))))
     shapes = counts.groupBy("feed", "file_seq", "field").agg(best.alias("kind"))
@@ -143,13 +200,20 @@ def field_changes(raw: DataFrame, identity: str = "guid") -> DataFrame:
     new = both.where("__old is null").select("feed", "file_seq", "before", F.col("field").alias("new_field"))
     # values are read only from files that lost a field and gained one
     pairs = gone.join(new, ["feed", "file_seq", "before"])
-    held = raw.select("feed", F.col("file_seq").alias("at"), _object("__rec").alias("o")).withColumn("id", F.try_element_at("o", F.lit(identity)).try_cast("string")).where("id is not null")
+    r = _object(RESCUED)
+    own = F.try_element_at("__r", F.lit(identity)).try_cast("string")
+    id_of = F.coalesce(F.col(identity).cast("string"), own) if identity in names else own
+    kept = F.filter(F.array(*(F.struct(F.lit(f.name).alias("field"), _typed_value(f).alias("v")) for f in fields)), lambda x: x["v"].isNotNull())
+    loose = F.filter(F.coalesce(F.map_entries("__r"), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~F.is_variant_null(e["value"]) & (e["key"] != CORRUPT))
+    loose = F.transform(loose, lambda e: F.struct(e["key"].alias("field"), _value(e["value"], _kind(e["value"])).alias("v")))
+    held = raw.withColumnsRenamed({"file_seq": "at"}).withColumn("__r", r).withColumn("id", id_of).where("id is not null")
 
     def values(fields: DataFrame, at: str, name: str) -> DataFrame:
         lists = fields.groupBy("feed", "file_seq", F.col(at).alias("at")).agg(F.collect_set(name).alias("names"))
         rows = held.join(lists, ["feed", "at"])
-        got = rows.select("feed", "file_seq", "id", F.explode(F.map_filter("o", lambda k, v: F.array_contains("names", k) & ~F.is_variant_null(v))).alias(name, "v"))
-        return got.select("feed", "file_seq", "id", name, F.to_json("v").alias("v")).groupBy("feed", "file_seq", "id", name).agg(F.collect_set("v").alias(f"{name}_v"))
+        wanted = lambda xs: F.filter(xs, lambda x: F.array_contains("names", x["field"]))
+        got = rows.select("feed", "file_seq", "id", F.inline(F.concat(wanted(kept), wanted(loose))).alias(name, "v"))
+        return got.groupBy("feed", "file_seq", "id", name).agg(F.collect_set("v").alias(f"{name}_v"))
 
     both_sides = pairs.select("feed", "file_seq", "before").distinct()
     a = values(gone.join(both_sides, ["feed", "file_seq", "before"], "left_semi"), "before", "old_field")

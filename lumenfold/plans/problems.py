@@ -9,7 +9,7 @@ from lumenfold.functions.text import folded
 from lumenfold.operators import copies, deliveries, drift, sky
 from lumenfold.operators import nights as N
 from lumenfold.plans.registry import Registry
-from lumenfold.session import read
+from lumenfold.session import cut, read
 from lumenfold.streaming.nights import NightStream
 
 registry = Registry()
@@ -237,8 +237,9 @@ union all select p.feed, p.file_seq, 'retyped', s.f, s.f from p join s on s.feed
 
 @query("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Field changes of every file against the one before it in its feed."""
-    return drift.field_changes(read(spark, sf, "target_raw").select("feed", "file_seq", "record"))
+    """Field changes of every file against the one before it in its feed, from the ingested table."""
+    table = cut(drift.ingest(read(spark, sf, "target_raw").select("feed", "file_seq", "record"), TARGET_FIELDS))
+    return drift.field_changes(table, TARGET_FIELDS)
 
 
 def target_table(raw: DataFrame) -> DataFrame:

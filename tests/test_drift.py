@@ -10,8 +10,14 @@ def raw(spark, files):
     return spark.createDataFrame(rows, RAW)
 
 
+KNOWN = [D.Field("guid", "string"), D.Field("x", "bigint"), D.Field("p", "double"), D.Field("t", "string"), D.Field("flag", "boolean"), D.Field("order", "array<bigint>")]
+
+
 def changes(spark, files):
-    return sorted(tuple(r) for r in D.field_changes(raw(spark, files)).collect())
+    """The same changes whether the schema knows the fields or everything is rescued."""
+    found = [sorted(tuple(r) for r in D.field_changes(D.ingest(raw(spark, files), fields), fields).collect()) for fields in (KNOWN, KNOWN[:1], [D.Field("other", "string")])]
+    assert found[0] == found[1] == found[2]
+    return found[0]
 
 
 def test_changes(spark):
@@ -36,6 +42,22 @@ def test_exactly_half_renames_and_each_field_once(spark):
     assert got == [("f", 2, "removed", "z", ""), ("f", 2, "renamed", "x", "y")]
 
 
+def test_values_agree_between_columns_and_rescue(spark):
+    """A rename is seen where one name is a typed column and the other is rescued, for every type."""
+    alike = [("x", 3, 3), ("p", 5, 5.0), ("p", 0.1, 0.1), ("p", 1e-9, 1e-9), ("t", 'a "q" \u00e9', 'a "q" \u00e9'), ("flag", True, True), ("order", [1, 2], [1, 2]), ("x", 2**60, 2**60)]
+    # a text is no number, and a list no text
+    unlike = [("x", 3, "3"), ("t", "true", True), ("order", [1, 2], "[1,2]")]
+    files = [f for i, (old, value, twin) in enumerate(alike + unlike) for f in ((f"{i:02d}", 1, [{"guid": "1", old: value}]), (f"{i:02d}", 2, [{"guid": "1", "new": twin}]))]
+    want = [(f"{i:02d}", 2, "renamed", old, "new") for i, (old, _, _) in enumerate(alike)]
+    want += [c for i, (old, _, _) in enumerate(unlike, len(alike)) for c in ((f"{i:02d}", 2, "added", "", "new"), (f"{i:02d}", 2, "removed", old, ""))]
+    assert changes(spark, files) == want
+
+
+def test_types_that_are_half_typed_half_rescued(spark):
+    a = [{"guid": str(i), "x": v} for i, v in enumerate([1, 2, "3", None, "4", "5"])]
+    assert changes(spark, [("f", 1, a), ("f", 2, [{"guid": "9", "x": 1.5}])]) == [("f", 2, "retyped", "x", "x")]
+
+
 def test_bad_null_and_repeated_records(spark):
     a = ["{not json", None, "[1]", {"guid": "1", "x": 1}, {"guid": "1", "x": 1}]
     got = changes(spark, [("f", 1, a), ("f", 2, ["{}"]), ("f", 3, []), ("f", 4, [{"guid": "1", "x": None}])])
@@ -56,12 +78,15 @@ def test_rescue_and_replay(spark):
     ]
     t = D.ingest(raw(spark, [("f", 1, records)]), FIELDS)
     first = {r["guid"]: r for r in t.collect()}
-    assert first["1"][D.RESCUED] == '{"note":"hi"}' and first["1"]["on"] is True
+    assert json.loads(first["1"][D.RESCUED]) == {"note": "hi", "on": 1} and first["1"]["on"] is None and first["1"]["ra"] == 1.5
+    assert json.loads(first["3"][D.RESCUED]) == {"ra": "east", "n": None, "order": "x"}
     assert first["2"]["ra"] is None and json.loads(first["2"][D.RESCUED]) == {"RA": "04 30 36", "enabled": False, "oeo": "3,4", "rank": "7"}
     assert first["1"]["raw_guid"] == "clash"
     p = D.promote(t, FIELDS).collect()
     two = next(r for r in p if r["guid"] == "2")
     assert (two["ra"], two["n"], two["on"], list(two["order"]), two[D.RESCUED]) == (4.51, 7, False, [3, 4], None)
+    one = next(r for r in p if r["guid"] == "1")
+    assert one["on"] is True and one[D.RESCUED] == '{"note":"hi"}'
     three = next(r for r in p if r["guid"] == "3")
     assert json.loads(three[D.RESCUED]) == {"ra": "east", "order": "x"}
     broken = [r[D.RESCUED] for r in p if r["guid"] is None]
