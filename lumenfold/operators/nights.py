@@ -4,7 +4,8 @@ Three clocks disagree: when a thing happened (``at``), when a delivery arrived
 (``received_at``) and how often the sender revised it (``seq``). Windows are
 nights of ``at``; arrival is the clock that closes them, since sender clocks
 may run ahead. The state kept per event is a set of minima and maxima, so it
-can be folded in any order, in one run or in many micro-batches.
+can be folded in any order, in one run or in many micro-batches. What arrives
+after the limit of its night changes no state; it is diverted and reported.
 """
 
 from __future__ import annotations
@@ -19,10 +20,6 @@ from lumenfold.functions.text import folded
 #: Microseconds of an hour.
 HOUR = 3_600_000_000
 
-#: Columns of the state, one row an event.
-STATE = ("source", "key", "at", "first_received", "latest")
-
-
 @dataclass(frozen=True)
 class NightClock:
     """A site clock with a fixed offset; a night is the date twelve hours before, and closes at noon."""
@@ -51,33 +48,18 @@ def local_night(at: Column, zone: str) -> Column:
     return F.to_date(wall - F.make_dt_interval(hours=F.lit(12)))
 
 
-def _dated(deliveries: DataFrame) -> DataFrame:
-    """Deliveries that have a night, with source and key as they are compared."""
-    rows = deliveries.where(F.col("at").isNotNull() & F.col("received_at").isNotNull())
-    rows = rows.withColumns({"source": folded("source"), "key": folded("key")})
-    return rows.where(F.col("source").isNotNull() & F.col("key").isNotNull())
-
-
-def diverted(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
-    """The deliveries that arrived after the limit of their night, whether their event was known in time or not."""
-    rows = _dated(deliveries).where(F.col("received_at") > clock.limit(F.col("at")))
-    return rows.select("delivery_id", clock.night(F.col("at")).alias("night"), "source", "key", "received_at")
-
-
-def fold(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
-    """State of each event from its deliveries: the arrival of the first one and the latest revision that came within the limit.
+def arrivals(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
+    """Deliveries that have a night, with source and key as they are compared: ``until`` (the limit of the night) and ``latest`` (what the delivery says, ordered by revision).
 
     ``deliveries`` needs source, key, seq, at, received_at, delivery_id and data.
-    Events without source, key or ``at`` have no night and are left out (see
-    :func:`undated`). Among revisions the highest ``seq`` counts (null lowest),
-    then one that carries hours, then the earliest arrival, then the smallest
-    ``delivery_id``. A delivery after its night's limit counts as an arrival
-    only and leaves the revision as it is (see :func:`diverted`). Combined on
-    the map side, so hot events need no salt.
+    Rows without source, key, ``at`` or arrival have no night and are left out.
     """
+    rows = deliveries.where(F.col("at").isNotNull() & F.col("received_at").isNotNull())
+    rows = rows.withColumns({"source": folded("source"), "key": folded("key")})
+    rows = rows.where(F.col("source").isNotNull() & F.col("key").isNotNull())
     hours = F.get_json_object("data", "$.hours").try_cast("double")
     frames = F.get_json_object("data", "$.frames").try_cast("bigint")
-    rev = F.struct(
+    latest = F.struct(
         F.coalesce(F.col("seq"), F.lit(-1).cast("bigint")).alias("seq"),
         hours.isNotNull().alias("has_hours"),
         (-F.unix_micros("received_at")).alias("neg_received"),
@@ -85,26 +67,50 @@ def fold(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
         hours.alias("hours"),
         frames.alias("frames"),
     )
-    latest = F.when(F.col("received_at") <= clock.limit(F.col("at")), rev)
-    return merge(_dated(deliveries).select("source", "key", "at", F.col("received_at").alias("first_received"), latest.alias("latest")))
+    return rows.select("delivery_id", "source", "key", "at", "received_at", clock.limit(F.col("at")).alias("until"), latest.alias("latest"))
+
+
+def in_time(rows: DataFrame) -> DataFrame:
+    """The arrivals within the limit of their night; only these change a state."""
+    return rows.where(F.col("received_at") <= F.col("until"))
+
+
+def diverted(rows: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
+    """The arrivals after the limit of their night, whether their event was known in time or not."""
+    return rows.where(F.col("received_at") > F.col("until")).select("delivery_id", clock.night(F.col("at")).alias("night"), "source", "key", "received_at")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """State of each event of a night: the first and last arrival and the latest revision, a set of minima and maxima.
+
+    Among revisions the highest ``seq`` counts (null lowest), then one that
+    carries hours, then the earliest arrival, then the smallest ``delivery_id``.
+    Over a stream the state of a night is dropped once the watermark passes
+    ``until``. Combined on the map side, so hot events need no salt.
+    """
+    return rows.groupBy("until", "source", "key").agg(F.min("at").alias("at"), F.min("received_at").alias("first_received"), F.max("received_at").alias("last_received"), F.max("latest").alias("latest"))
 
 
 def merge(states: DataFrame) -> DataFrame:
-    """Fold rows of state into one an event; associative and commutative."""
-    return states.groupBy("source", "key").agg(F.min("at").alias("at"), F.min("first_received").alias("first_received"), F.max("latest").alias("latest"))
+    """Fold rows of state into one an event; associative and commutative, so repeats and order don't matter. Of an event with several ``at`` the first counts."""
+    return states.groupBy("source", "key").agg(F.min("at").alias("at"), F.min("first_received").alias("first_received"), F.max("last_received").alias("last_received"), F.max("latest").alias("latest"))
+
+
+def fold(deliveries: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
+    """The states that a stream over these deliveries ends with."""
+    return merge(keyed(in_time(arrivals(deliveries, clock))))
 
 
 def classify(state: DataFrame, clock: NightClock = NightClock()) -> DataFrame:
-    """State with ``night`` and ``arrival``: on_time, correction (after closing, within the limit) or dropped."""
-    first, at = F.col("first_received"), F.col("at")
-    arrival = F.when(first <= clock.closing(at), "on_time").when(first <= clock.limit(at), "correction").otherwise("dropped")
+    """State with ``night`` and ``arrival``: on_time, or correction (first heard of after closing)."""
+    at = F.col("at")
+    arrival = F.when(F.col("first_received") <= clock.closing(at), "on_time").otherwise("correction")
     return state.withColumns({"night": clock.night(at), "arrival": arrival})
 
 
 def totals(classified: DataFrame) -> DataFrame:
     """One row a night: events, corrections, hours and frames of what came within the limit."""
-    kept = classified.where("arrival <> 'dropped'")
-    return kept.groupBy("night").agg(
+    return classified.groupBy("night").agg(
         F.count("*").alias("events"),
         F.count_if(F.col("arrival") == "correction").alias("corrections"),
         F.round(F.sum("latest.hours"), 4).alias("hours"),
@@ -113,7 +119,12 @@ def totals(classified: DataFrame) -> DataFrame:
     )
 
 
-def dropped(classified: DataFrame) -> DataFrame:
-    """The events that never came within the limit, counted by night and source with the last first arrival; all late deliveries are in :func:`diverted`."""
-    late = classified.where("arrival = 'dropped'")
-    return late.groupBy("night", "source").agg(F.count("*").alias("events"), F.max("first_received").alias("last_received"))
+def dropped(late: DataFrame, state: DataFrame) -> DataFrame:
+    """The events of which nothing came within the limit, counted by night and source with the last first arrival.
+
+    ``late`` has the diverted deliveries; an event that has a state isn't
+    reported, also if its state came after the diverted delivery.
+    """
+    first = late.groupBy("night", "source", "key").agg(F.min("received_at").alias("received_at"))
+    unknown = first.join(state.select("source", "key"), ["source", "key"], "left_anti")
+    return unknown.groupBy("night", "source").agg(F.count("*").alias("events"), F.max("received_at").alias("last_received"))
