@@ -63,3 +63,26 @@ def test_items_in_parts(spark):
     i = spark.createDataFrame(items, "item_id bigint, item_text string")
     got = {(r["doc_id"], r["item_id"]) for r in L.leaked_windows(d, i, 6, 3, bound=60).collect()}
     assert got == brute(docs, items, 6)
+
+
+def test_long_item_is_cut_into_parts(spark):
+    rnd = random.Random(11)
+    words = [str(rnd.randint(0, 99)) for _ in range(4000)]
+    items = [(1, " ".join(words)), (2, " ".join(words[:30])), (3, None)]
+    docs = [(k, "x " + " ".join(words[k * 13 : k * 13 + 12]) + " y") for k in range(200)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, item_text string")
+    assert {(r["doc_id"], r["item_id"]) for r in L.leaked_windows(d, i, 12, 5, bound=4000).select("doc_id", "item_id").collect()} == brute(docs, [x for x in items if x[1]], 12)
+
+
+def test_prefix_is_the_rarest_shingle():
+    ix = L.ShingleIndex([(7, "a b c d e f"), (8, "a b c d e f"), (9, "b c d e f g")], 3, 6)
+    ids = lambda text: L.np.array([ix.vocabulary.get(w, -1) for w in text.split()])
+    at, number = ix.hits(ids("x a b c d e f x b c d"))
+    assert at.tolist() == [1, 2, 3, 4, 8] and number[1] == number[4]
+    counts = L.np.bincount(number, minlength=ix.shingles)
+    ix.choose_prefixes(counts)
+    # the window of item 9 has a shingle that is nowhere, so only one prefix is left, and it isn't the frequent one
+    assert len(ix.prefix_windows) == 1 and ix.prefix_from[number[1]] == ix.prefix_from[number[1] + 1]
+    start, window = ix.windows_in(ids("x a b c d e f x b c d"))
+    assert start.tolist() == [1] and sorted(ix.items[ix.items_from[window[0]] : ix.items_from[window[0] + 1]].tolist()) == [7, 8]
