@@ -89,6 +89,12 @@ def fold(value: str) -> str:
     return re.sub(r"[\s_]+", " ", text).strip()
 
 
+def compact(text: str) -> str:
+    """A folded text as entries are compared: without blanks and marks, a plus sign behind a word written out."""
+    text = re.sub(r"(?<=\w)\+(?=\s|$)", " plus", text)
+    return re.sub(r"[\s\-_/.,:;+\[\]()]+", "", text) or text
+
+
 def forms(value: str, decoration: Decoration) -> list[str]:
     """The folded value, then what is left as decorations come off, fewest first."""
     seen, todo = [fold(value)], [fold(value)]
@@ -103,22 +109,28 @@ def forms(value: str, decoration: Decoration) -> list[str]:
 
 
 def allowance(text: str) -> int:
-    """Typing errors that a text may hold: none below five characters, one from five on."""
+    """Typing errors that a text may hold, as it was written: none below five characters, one from five on."""
     return 1 if len(text) >= 5 else 0
 
 
+def digits(text: str) -> str:
+    return re.sub(r"\D", "", text)
+
+
 def best_match(value: str, tree: BKTree, decoration: Decoration, threshold: int = 1) -> tuple[int, int, str] | None:
     """Least (distance, form, entry) for a value; None if nothing is within reach.
 
     An exact form wins over any inexact one. Among inexact ones the nearest
-    counts, then the form with fewer decorations taken off, then the entry.
+    counts, then the form with fewer decorations taken off, then the entry. A
+    digit is never a typing error: it says which of several alike is meant.
     """
-    texts = forms(value, decoration)
+    written = forms(value, decoration)
+    texts = [compact(t) for t in written]
     for i, t in enumerate(texts):
         if exact := tree.within(t, 0):
             return 0, i, exact[0][1]
-    found = [(d, i, e) for i, t in enumerate(texts) for d, e in tree.within(t, min(threshold, allowance(t)))]
-    found = [(d, i, e) for d, i, e in found if d <= allowance(e)]
+    found = [(d, i, e) for i, t in enumerate(texts) for d, e in tree.within(t, min(threshold, allowance(written[i])))]
+    found = [(d, i, e) for d, i, e in found if d <= allowance(e) and digits(texts[i]) == digits(e)]
     return min(found) if found else None
 
 
@@ -128,7 +140,7 @@ SCHEMA = "value string, entry string, dist int, form int"
 def match_values(values: DataFrame, entries: DataFrame, decoration: Decoration, threshold: int = 1, shard_entries: int = 20_000) -> DataFrame:
     """Nearest reference entry of each distinct value.
 
-    ``values`` has ``value``, ``entries`` has ``entry`` (folded) and ``canon_id``.
+    ``values`` has ``value``, ``entries`` has ``entry`` (compact) and ``canon_id``.
     Gives value, canon_id (0: none within reach), entry and dist. Null values are
     left out; an empty value maps to 0. Entries that share a text must share the
     id (the smallest counts). Up to ``shard_entries`` entries make one tree that

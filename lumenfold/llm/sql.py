@@ -19,14 +19,46 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# fixed values: other spellings of the reference entries, by canonical name
+SPELLINGS = {
+    "L": ("lum", "luminance", "luminanz", "luminancia", "clear lum"),
+    "R": ("red", "rot", "rouge", "rojo"),
+    "G": ("green", "grün", "gruen", "vert", "verde"),
+    "B": ("blue", "blau", "bleu", "azul"),
+    "Ha": ("hα", "h-α", "halpha", "h-alpha", "h alpha", "hydrogen alpha", "hydrogen-alpha"),
+    "Hb": ("hβ", "h-β", "hbeta", "h-beta", "h beta", "hydrogen beta", "hydrogen-beta"),
+    "OIII": ("o3", "o-iii", "o iii", "[o iii]", "[oiii]", "oxygen iii", "oxygen 3"),
+    "SII": ("s2", "s-ii", "s ii", "[s ii]", "[sii]", "sulphur ii", "sulfur ii", "sulphur 2", "sulfur 2"),
+    "NII": ("n2", "n-ii", "n ii", "[n ii]", "[nii]", "nitrogen ii", "nitrogen 2"),
+    "HeII": ("he2", "he-ii", "he ii", "[he ii]", "helium ii", "helium 2"),
+    "Methane": ("ch4", "methan", "methane band"),
+    "IR pass": ("ir-pass", "irpass", "infrared pass"),
+    "UV/IR cut": ("uv-ir-cut", "uvir cut", "uv ir block", "uv ir cut", "uv/ir block"),
+    "Korvex Duo 7": ("korvexduo 7", "korvex duo7", "korvex duo band 7nm", "korvex duo band 7 nm"),
+    "Korvex Duo 3": ("korvexduo 3", "korvex duo3", "korvex duo band 3nm", "korvex duo band 3 nm"),
+    "Nivalis SkyCut": ("nivalis sky cut", "nivalis sky-cut"),
+    "Nivalis SkyCut Plus": ("nivalis sky cut plus", "nivalis sky-cut plus", "nivalis skycut+", "nivalis sky cut+"),
+    "Ombral Quad": ("ombral quadband", "ombral quad band", "ombral 4-band"),
+    "Tessera HO": ("tessera h-o", "tessera ha+oiii"),
+    "Tessera SO": ("tessera s-o", "tessera sii+oiii"),
+    "Photometric V": ("photometric-v", "phot. v", "v photometric"),
+    "Photometric I": ("photometric-i", "phot. i", "i photometric"),
+    "Wexcomb Dusk": ("wexcombdusk", "wexcomb-dusk"),
+    "Moonbar 2": ("moon-bar 2", "moonbar ii", "moonbar2"),
+}
+
+#: What the SQL takes off beside a filter.
+PREFIXES = (r"\d+\s*:\s*", r"filter[ :]+(?=\D)", r"(?:corvane|antrel|obrix|baldric|nivalis)\s+")
+
+
 def p3_found() -> str:
     """Forms of each value by a recursive query, then the nearest entry; typing errors count as in the operator."""
     from lumenfold.llm.canon import fold
-    from lumenfold.llm.filters import BESIDE, SPELLINGS
+    from lumenfold.llm.filters import BESIDE
 
     spelled = ", ".join(f"({_quoted(name)}, {_quoted(fold(s))})" for name, ss in SPELLINGS.items() for s in ss)
     # look-ahead isn't known to this dialect: the letter is put back instead
-    cut = [(rf"^(?:{p})", "") if "(?=" not in p else (rf"^{p.replace('(?=', '(').replace(')', ')')}", r"\1") for p in BESIDE.prefixes] + [(rf"(?:{p})$", "") for p in BESIDE.suffixes]
+    cut = [(rf"^(?:{p})", "") if "(?=" not in p else (rf"^{p.replace('(?=', '(').replace(')', ')')}", r"\1") for p in PREFIXES] + [(rf"(?:{p})$", "") for p in BESIDE.suffixes]
     steps = ", ".join(f"regexp_replace(t, {_quoted(p)}, {_quoted(r)})" for p, r in cut)
     folded = "trim(regexp_replace(lower(replace(replace(replace(v, 'Ã¼', 'ü'), 'Î±', 'α'), 'Î²', 'β')), '[\\s_]+', ' ', 'g'))"
     return f"""

@@ -37,15 +37,24 @@ def frame(spark, values):
     return spark.createDataFrame([(v, "clash") for v in values], "value string, canon_id string")
 
 
+# a reference list of this shape; only the word table is typed in, the spellings come from it by rule
+LIST = [
+    ("L", "luminance", "broadband", 300.0), ("R", "red", "broadband", 100.0), ("G", "green", "broadband", 90.0), ("B", "blue", "broadband", 100.0), ("Ha", "hydrogen alpha", "narrowband", 5.0), ("Hb", "hydrogen beta", "narrowband", 5.0),
+    ("OIII", "doubly ionised oxygen", "narrowband", 5.0), ("SII", "ionised sulphur", "narrowband", 5.0), ("Methane", "methane absorption", "narrowband", 10.0), ("UV/IR cut", "ultraviolet and infrared block", "broadband", 300.0),
+    ("Korvex Duo 7", "two lines, 7 nm", "dual", 7.0), ("Korvex Duo 3", "two lines, 3 nm", "dual", 3.0), ("Nivalis SkyCut", "light pollution cut", "broadband", 200.0), ("Nivalis SkyCut Plus", "stronger light pollution cut", "broadband", 140.0),
+    ("Tessera HO", "hydrogen and oxygen", "dual", 6.0), ("Photometric V", None, "photometric", 90.0), ("Moonbar 2", "moonlight reducer", None, None), ("Vexil Tri 6", None, "triple", 6.0),
+]
+
+
 @pytest.fixture(scope="module")
 def canon(spark):
-    rows = [(i, n) for i, n in enumerate(filters.SPELLINGS, 1)]
-    return spark.createDataFrame(rows, "canon_id int, canon_name string")
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(LIST, 1)], "canon_id int, canon_name string, long_name string, kind string, width_nm double")
 
 
 CASES = {
     "Ha": "Ha", "  7: Hydrogen lApha-3nm (Obrix 571 colour)": "Ha", "filter_O-III_12nm": "OIII", "grÃ¼n": "G", "Nivalis B": "B", "Nivalis_Sky_Cut_Plus": "Nivalis SkyCut Plus",
-    "Korvex Duo Bnad 3nm": "Korvex Duo 3", "KORVEX DUO BAND 7NM": "Korvex Duo 7", "Tessera HO": "Tessera HO", "Red Stars": "R", "Oxygen II": "OIII",
+    "Korvex Duo Bnad 3nm": "Korvex Duo 3", "KORVEX DUO BAND 7NM": "Korvex Duo 7", "Tessera HO": "Tessera HO", "Red Stars": "R", "Oxygen II": "OIII", "Oxygen nII": "OIII", "H-eta": "Hb", "Methhan": "Methane", "uv ir block": "UV/IR cut", "moon-bar II": "Moonbar 2", "phot. V": "Photometric V", "tessera ha+oiii": "Tessera HO",
+    "nivalis skycut+": "Nivalis SkyCut Plus", "Newmaker Luminanz 36mm filter": None, "Newmaker Luminanz filter": "L", "vexil tri band 6nm": "Vexil Tri 6", "Vexil 3-band 6 nm": "Vexil Tri 6", "korvex duo 8": None,
     "Filter 7": None, "07": None, "slot?": None, "": None, " \t": None, "Calcium K": None, "ND 3.8": None, "x" * 20_000: None,
 }
 
@@ -69,12 +78,13 @@ def test_against_brute_force(spark, canon):
         values.append(rnd.choice(["", "Corvane ", "3: "]) + "".join(t) + rnd.choice(["", " 3nm", " filter"]))
 
     def brute(v):
-        texts = K.forms(v, filters.BESIDE)
+        written = K.forms(v, filters.BESIDE)
+        texts = [K.compact(t) for t in written]
         for t in texts:
             if t in entries:
                 return 0, texts.index(t), t
-        near = [(K.distance(t, e), i, e) for i, t in enumerate(texts) for e in entries]
-        near = [x for x in near if x[0] <= min(K.allowance(texts[x[1]]), K.allowance(x[2]))]
+        near = [(K.distance(t, e), i, e) for i, t in enumerate(texts) for e in entries if K.digits(t) == K.digits(e)]
+        near = [x for x in near if x[0] <= min(K.allowance(written[x[1]]), K.allowance(x[2]))]
         return min(near) if near else None
 
     got = {r["value"]: (r["dist"], r["entry"]) for r in K.match_values(frame(spark, values), filters.entries(canon), filters.BESIDE).collect()}
