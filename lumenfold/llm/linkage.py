@@ -20,30 +20,38 @@ from lumenfold.session import cut
 MISSING = 0
 
 
-def fit(vectors: np.ndarray, counts: np.ndarray, levels: Sequence[int], start_share: float = 0.2, rounds: int = 500, smooth: float = 0.5, never: np.ndarray | None = None) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+def fit(vectors: np.ndarray, counts: np.ndarray, levels: Sequence[int], start_share: float = 0.2, rounds: int = 500, smooth: float = 0.5, never: tuple[int, int] | None = None) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
     """Share of matches and, for each comparison, the probabilities of its levels among matches and non-matches.
 
     ``vectors`` is one row a distinct vector, ``counts`` how many pairs have it.
     Only vectors reach this place, never pairs: their number is the product of
     the levels at most. Missing values are left out of the likelihood. Starts
     from agreement being likelier, the higher the level, among matches.
+    ``never``: a comparison and its level that no match has, so that its
+    probability among matches is 0 and its pairs teach the non-match side.
     """
     m, u = [], []
     for k in levels:
         w = 4.0 ** np.arange(k)
         m.append(w / w.sum())
         u.append(w[::-1] / w.sum())
+
+    def barred() -> None:
+        if never is not None:
+            m[never[0]][never[1] - 1] = 0.0
+            m[never[0]] /= m[never[0]].sum()
+
+    barred()
     share, counts = start_share, counts.astype(float)
     for _ in range(rounds):
         p = posterior(vectors, share, m, u)
-        if never is not None:
-            p = np.where(never, 0.0, p)
         new = float((p * counts).sum() / max(counts.sum(), 1.0))
         for j, k in enumerate(levels):
             for probs, weight in ((m, p), (u, 1 - p)):
                 seen = vectors[:, j] != MISSING
                 sums = np.bincount(vectors[seen, j] - 1, weights=(weight * counts)[seen], minlength=k) + smooth
                 probs[j] = sums / sums.sum()
+        barred()
         if abs(new - share) < 1e-9:
             break
         share = min(max(new, 1e-6), 1 - 1e-6)
@@ -52,49 +60,43 @@ def fit(vectors: np.ndarray, counts: np.ndarray, levels: Sequence[int], start_sh
 
 def posterior(vectors: np.ndarray, share: float, m: list[np.ndarray], u: list[np.ndarray]) -> np.ndarray:
     log = np.full(len(vectors), np.log(share / (1 - share)))
-    for j in range(vectors.shape[1] if len(vectors) else 0):
-        seen = vectors[:, j] != MISSING
-        at = vectors[seen, j] - 1
-        log[seen] += np.log(m[j][at]) - np.log(u[j][at])
-    return 1 / (1 + np.exp(-np.clip(log, -700, 700)))
+    with np.errstate(divide="ignore"):
+        for j in range(vectors.shape[1] if len(vectors) else 0):
+            seen = vectors[:, j] != MISSING
+            at = vectors[seen, j] - 1
+            log[seen] += np.log(m[j][at]) - np.log(u[j][at])
+    return np.where(np.isneginf(log), 0.0, 1 / (1 + np.exp(-np.clip(log, -700, 700))))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[tuple[Column, Column]], near: DataFrame | None = None, crowd: int = 200, refine: tuple[Column, Column] | None = None) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[tuple[Column, Column]], near: DataFrame | None = None, crowd: int = 200) -> DataFrame:
     """Distinct (l, r) of rows that share a blocking key in any pass; each pass gives an array of keys on either side.
 
-    A key that more than ``crowd`` rows of the right table share is dealt into
-    parts of about ``crowd`` rows, and its left rows go to each part: all pairs
-    are found, and no task has the whole key. With ``refine`` (arrays of keys on
-    both sides) only pairs that also share one of those are kept of such a key.
+    The keys of all passes lie in one table a side, so there is one join. A key
+    that more than ``crowd`` rows of the right table share is dealt into parts
+    of about ``crowd`` rows, and its left rows go to each part: all pairs are
+    found at every size, and no task has the whole key.
     """
-    found = near.select("l", "r") if near is not None else None
-    for a, b in passes:
-        keys_l = left.select("l", F.explode(F.array_distinct(a)).alias("k"), *([refine[0].alias("f")] if refine else []))
-        keys_r = right.select("r", F.explode(F.array_distinct(b)).alias("k"), *([refine[1].alias("f")] if refine else []))
-        if not refine:
-            counts = keys_r.groupBy("k").count().where(F.col("count") > crowd)
-            crowded = counts.select("k", F.ceil(F.col("count") / F.lit(crowd)).cast("int").alias("parts"))
-            one = F.coalesce(F.col("parts"), F.lit(1))
-            keys_l = keys_l.join(crowded, "k", "left").select("l", "k", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
-            keys_r = keys_r.join(crowded, "k", "left").select("r", "k", F.pmod(F.xxhash64("r"), one).cast("int").alias("part"))
-            pairs = keys_l.join(keys_r, ["k", "part"]).select("l", "r")
-        else:
-            crowded = keys_r.groupBy("k").count().where(F.col("count") > crowd).select("k", F.lit(True).alias("crowded"))
-            split = lambda d: d.join(crowded, "k", "left").withColumn("f", F.explode(F.when(F.col("crowded"), F.col("f")).otherwise(F.array(F.lit(-1).cast("bigint")))))
-            keys_l, keys_r = split(keys_l), split(keys_r)
-            pairs = keys_l.join(keys_r, ["k", "f"]).select("l", "r")
-        found = pairs if found is None else found.unionByName(pairs)
+    named = lambda keys, i: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(i).alias("pass"), k.alias("k")))
+    every = lambda side: F.flatten(F.array(*(named(p[side], i) for i, p in enumerate(passes))))
+    keys_l = left.select("l", F.inline(every(0)))
+    keys_r = right.select("r", F.inline(every(1)))
+    crowded = keys_r.groupBy("pass", "k").count().where(F.col("count") > crowd).select("pass", "k", F.ceil(F.col("count") / F.lit(crowd)).cast("int").alias("parts"))
+    one = F.coalesce(F.col("parts"), F.lit(1))
+    keys_l = keys_l.join(crowded, ["pass", "k"], "left").select("l", "pass", "k", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    keys_r = keys_r.join(crowded, ["pass", "k"], "left").select("r", "pass", "k", F.pmod(F.xxhash64("r"), one).cast("int").alias("part"))
+    found = keys_l.join(keys_r, ["pass", "k", "part"]).select("l", "r")
+    if near is not None:
+        found = found.unionByName(near.select("l", "r"))
     return found.distinct()
 
 
-def score(pairs: DataFrame, comparisons: dict[str, tuple[Column, int]], never: tuple[str, int] | None = None, split: Sequence[str] = (), least_pairs: int = 60) -> DataFrame:
+def score(pairs: DataFrame, comparisons: dict[str, tuple[Column, int]], never: tuple[str, int] | None = None, split: Sequence[str] = ()) -> DataFrame:
     """``pairs`` with the level of each comparison and ``confidence``.
 
     ``comparisons``: name to (level, number of levels besides 0). ``never``: a
-    comparison and the level of it that rules a match out. ``split``: comparisons
-    without which pairs are of another kind; where all of them are missing, the
-    pairs came by other passes and have a model of their own, if there are at
-    least ``least_pairs`` to learn it from. The pairs with
+    comparison and the level of it that no match has. ``split``: comparisons without which pairs are of another
+    kind; where all of them are missing, the pairs came by other passes and have
+    a model of their own. The confidence is the posterior throughout. The pairs with
     their levels are written to the shared folder once; the vectors' counts are
     the only thing that comes to the driver.
     """
@@ -105,15 +107,13 @@ def score(pairs: DataFrame, comparisons: dict[str, tuple[Column, int]], never: t
     rows = levelled.groupBy(*cols).count().collect()
     vectors = np.array([[r[c] for c in cols] for r in rows], int).reshape(len(rows), len(cols))
     counts = np.array([r["count"] for r in rows], float)
-    mask = vectors[:, names.index(never[0])] == never[1] if never else np.zeros(len(rows), bool)
+    barred = (names.index(never[0]), never[1]) if never else None
     apart = (vectors[:, [names.index(n) for n in split]] == MISSING).all(axis=1) if split and len(rows) else np.zeros(len(rows), bool)
-    if counts[apart].sum() < least_pairs:
-        apart[:] = False
     p = np.zeros(len(rows))
     for kind in (apart, ~apart):
         if kind.any():
-            share, m, u = fit(vectors[kind], counts[kind], levels, never=mask[kind])
-            p[kind] = np.where(mask[kind], 0.0, posterior(vectors[kind], share, m, u))
+            share, m, u = fit(vectors[kind], counts[kind], levels, never=barred)
+            p[kind] = posterior(vectors[kind], share, m, u)
     spark = pairs.sparkSession
     table = spark.createDataFrame([(*map(int, v), float(x)) for v, x in zip(vectors, p)], ", ".join(f"{c} int" for c in cols) + ", confidence double")
     return levelled.join(F.broadcast(table), cols)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import linkage as K
@@ -78,13 +79,14 @@ def test_blocking_by_typing_errors(spark):
             assert cuts[r["w"]] & cuts[r["v"]]
 
 
-def test_crowded_key_is_refined(spark):
-    left = spark.createDataFrame([(i, "hot", i % 10) for i in range(30)], "l int, k string, f bigint")
-    right = spark.createDataFrame([(i, "hot", i % 10) for i in range(40)], "r int, k string, f bigint")
-    refine = (F.array("f"), F.array("f"))
-    few = K.candidate_pairs(left, right, [(F.array("k"), F.array("k"))], None, 10, refine)
-    assert few.count() == 30 * 4
-    assert K.candidate_pairs(left, right, [(F.array("k"), F.array("k"))], None, 100, refine).count() == 30 * 40
+@pytest.mark.parametrize("n", [9, 10, 11, 300])
+def test_crowded_key_keeps_all_pairs(spark, n):
+    """As many pairs below, at and above the number of rows from which a key is dealt into parts; keys of unlike passes don't mix."""
+    left = spark.createDataFrame([(i, "hot", "a") for i in range(7)], "l int, k string, f string")
+    right = spark.createDataFrame([(i, "hot", "hot") for i in range(n)] + [(1000, "cold", "a")], "r int, k string, f string")
+    passes = [(F.array("k"), F.array("k")), (F.array(F.lit("x"), "f"), F.array(F.lit("y"), "f"))]
+    got = {tuple(r) for r in K.candidate_pairs(left, right, passes, None, 10).collect()}
+    assert got == {(i, j) for i in range(7) for j in [*range(n), 1000]}
 
 
 def test_crowded_names_keep_all_pairs(spark):
