@@ -37,8 +37,13 @@ def content_survivors(blocks: DataFrame, key: list[str], path: str = "bucket") -
 
 
 def multisets(times: DataFrame) -> DataFrame:
-    """``times`` (grp, block, t, n) as one row a block: its sorted times with counts, frames and distinct times."""
-    return times.groupBy("grp", "block").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("times"), F.sum("n").alias("frames"), F.count("*").alias("kinds"))
+    """``times`` (grp, block, t, n) as one row a block: its sorted times with counts, frames and distinct times.
+
+    Blocks with a frame that has no time, or with a single time for all, are
+    left out: their times can't tell which frames they hold.
+    """
+    whole = times.groupBy("grp", "block").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("times"), F.sum("n").alias("frames"), F.count("*").alias("kinds"), F.count_if(F.col("t").isNull() & (F.coalesce("n", F.lit(1)) > 0)).alias("untimed"))
+    return whole.where("kinds > 1 and untimed = 0").drop("untimed")
 
 
 def _rank(df: DataFrame) -> Column:
@@ -49,12 +54,12 @@ def _rank(df: DataFrame) -> Column:
 def whole_copies(times: DataFrame) -> DataFrame:
     """Blocks whose capture times are all in an earlier-ranked block of the group: grp, block and the keeper.
 
-    Blocks with a single time aren't trusted: a tool may have stamped them. Equal
+    Blocks with a single time, or with untimed frames, aren't trusted. Equal
     multisets are joined first, so thousands of copies cost one row; of the rest
     a block is compared only with those that hold its rarest time, as a container
     must. The keeper is the first-ranked container.
     """
-    blocks = multisets(times).where("kinds > 1").withColumn("rank", F.struct((-F.col("frames")).alias("f"), F.col("block").alias("b")))
+    blocks = multisets(times).withColumn("rank", F.struct((-F.col("frames")).alias("f"), F.col("block").alias("b")))
     # the copies of one multiset: its first-ranked block stands for it
     firsts = blocks.groupBy("grp", "times").agg(F.min("rank").alias("first"))
     same = blocks.join(firsts, ["grp", "times"]).where("rank > first").select("grp", "block", F.col("first.b").alias("keeper"), F.col("first").alias("by"))
@@ -82,7 +87,7 @@ def partial_copies(times: DataFrame) -> DataFrame:
     the smaller of its own count and the most that any earlier one holds. Gives
     grp, block, frames and lost.
     """
-    blocks = multisets(times).where("kinds > 1")
+    blocks = multisets(times)
     spread = blocks.select("grp", "block", "frames", F.explode("times").alias("e")).select("grp", "block", "frames", F.col("e.t").alias("t"), F.col("e.n").alias("n"))
     earlier = Window.partitionBy("grp", "t").orderBy(F.desc("frames"), "block").rowsBetween(Window.unboundedPreceding, -1)
     shared = spread.withColumn("shared", F.least("n", F.coalesce(F.max("n").over(earlier), F.lit(0))))
@@ -90,13 +95,18 @@ def partial_copies(times: DataFrame) -> DataFrame:
     return lost.where((F.col("lost") >= LEAST_SHARED) & (F.col("lost") >= F.col("frames") * LEAST_SHARE))
 
 
-VARIANT = r"(?i)(?:[_\- ](?:abe|dbe|bxt|nxt|sxt|stf|stretched|linear|crop|cropped|drizzle|drz|final|edit|copy|v)\d*|\s*\(\d+\))+$"
+# fixed values: marks of a master's variants
+VARIANT_TOKENS = (
+    "starless", "stars", "starmask", "nostars", "autocrop", "crop", "cropped", "trimmed", "abe", "dbe", "gradient", "bg", "background", "denoise", "denoised", "nr", "decon", "deconvolved", "sharpened",
+    "stretched", "nonlinear", "linear", "ht", "stf", "final", "processed", "edit", "edited", "clone", "copy", "preview", "drizzle", "drz", "1x", "2x", "3x", "4x",
+)
+#: Everything before the marks at the end of a stem, each of which may be numbered; the copies of a file system have a number in brackets.
+VARIANT = rf"(?i)^(.+?)(?:[_\-\s](?:{'|'.join(VARIANT_TOKENS)})\d*|[\s_\-]*\(\d+\))+$"
 
 
 def variant_stem(stem: Column) -> Column:
     """A master's name without the marks of its variants; never empty."""
-    cut = F.regexp_replace(stem, VARIANT, "")
-    return F.when(cut == "", stem).otherwise(cut)
+    return F.regexp_replace(stem, VARIANT, "$1")
 
 
 def collapse_variants(masters: DataFrame, far_arcmin: float = 2.0) -> DataFrame:

@@ -6,9 +6,9 @@ from lumenfold.plans.registry import Registry
 
 
 def core() -> Registry:
-    from lumenfold.plans import activity, archive, fields, frames, library, problems, rules, schedule
+    from lumenfold.plans import activity, archive, exchange, fields, frames, library, problems, rules, schedule
 
     out = Registry()
-    for module in (problems, archive, frames, library, activity, schedule, fields, rules):
+    for module in (problems, archive, frames, library, activity, schedule, fields, rules, exchange):
         out.merge(module.registry)
     return out

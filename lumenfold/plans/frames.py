@@ -85,14 +85,14 @@ def content_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MASTERS_SQL = """
-select 'd' || cast(p_partkey % 40 as varchar(20)) as folder, 'stack_' || cast(p_partkey % 7 as varchar(20)) || case p_partkey % 6 when 0 then '' when 1 then '_ABE' when 2 then '_dbe2' when 3 then ' (2)' when 4 then '_final_v3' else '_crop-copy' end as stem,
+select 'd' || cast(p_partkey % 40 as varchar(20)) as folder, 'stack_' || cast(p_partkey % 7 as varchar(20)) || case p_partkey % 6 when 0 then '' when 1 then '_ABE' when 2 then '_dbe2' when 3 then ' (2)' when 4 then '_final_v3' else '_drizzle_2x_autocrop' end as stem,
   case when p_partkey % 40 = 3 then p_brand else 'Ha' end as filter, cast(10 + p_partkey % 40 as double) as ra_deg, case when p_partkey % 40 = 5 then 20 + p_size / 100.0 else 20.0 end as dec_deg, p_size as ncombine, cast(p_partkey as varchar(20)) as path from part
 """
 
 
 @query(
     "master_variants",
-    rf"""with m as (select *, regexp_replace(stem, '([_\- ](abe|dbe|final|crop|copy|v)[0-9]*|\s*\([0-9]+\))+$', '', 'i') as base from ({MASTERS_SQL}) q),
+    rf"""with m as (select *, regexp_replace(stem, '^(.+?)([_\s-](starless|stars|starmask|nostars|autocrop|crop|cropped|trimmed|abe|dbe|gradient|bg|background|denoise|denoised|nr|decon|deconvolved|sharpened|stretched|nonlinear|linear|ht|stf|final|processed|edit|edited|clone|copy|preview|drizzle|drz|1x|2x|3x|4x)[0-9]*|[\s_-]*\([0-9]+\))+$', '\1', 'i') as base from ({MASTERS_SQL}) q),
     g as (select folder, base, count(distinct filter) as filters, max(dec_deg) - min(dec_deg) as spread, first(dec_deg order by ncombine desc, len(path), path) as d0, first(path order by ncombine desc, len(path), path) as winner from m group by 1, 2)
     select folder, stem, filter, path from m join g using (folder, base) where filters > 1 or winner = path or exists (select 1 from m n where n.folder = m.folder and n.base = m.base and abs(n.dec_deg - d0) * 60 > 2.0)""",
 )

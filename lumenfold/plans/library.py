@@ -238,12 +238,22 @@ def rotation_mean(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("telescope", F.round(F.when(a < 0, a + 180).otherwise(a), 4).alias("mean_deg"))
 
 
+#: Hides the ids of the shared table; a deployment sets its own.
+SALT = os.environ.get("LUMENFOLD_SHARE_SALT", "not a secret: for tests")
+
+_CLASS_SQL = """coalesce(cast(coalesce(try_cast(regexp_extract(lower(t), '(\\d{2,4})\\s*mm', 1) as int), cast(round(try_cast(regexp_extract(lower(t), '(\\d+(?:\\.\\d+)?)\\s*(?:"|-?inch|in\\b)', 1) as double) * 25.4) as int),
+  case when try_cast(regexp_extract(lower(t), '(?:^|\\D)(\\d{2,4})(?:\\D|$)', 1) as int) between 40 and 1000 then try_cast(regexp_extract(lower(t), '(?:^|\\D)(\\d{2,4})(?:\\D|$)', 1) as int) end) as varchar) || 'mm '
+  || case when regexp_matches(lower(t), 'refractor|apo|redcat|esprit|tak |fsq|ap |ap1|askar|william optics|tsa|fcd|gtx|petzval|doublet|triplet') then 'refractor' when regexp_matches(lower(t), 'newt|rasa|dob') then 'reflector' else 'telescope' end, 'telescope')"""
+
+
 @query(
     "shared_manifest",
-    f"""select substring(sha256('salt:' || cast(target_id as varchar)), 1, 16) as id, round(round(center_ra_deg, 1), 6) as ra_deg, round(round(center_dec_deg, 1), 6) as dec_deg, round({HOURS_SQL}, 1) as hours, len(map_keys(filters)) as filters from library_target""",
+    f"""with e as (select target_id, f.key as band, round(coalesce(f.value.total_hours, 0), 1) as total_hours, coalesce(f.value.files, 0) as files from (select target_id, unnest(map_entries(filters)) as f from library_target))
+    select 'f_' || substring(sha256('{SALT}|' || cast(l.target_id as varchar) || coalesce('|' || cast(center_ra_deg as varchar), '') || coalesce('|' || cast(center_dec_deg as varchar), '')), 1, 12) as target_id,
+      array_to_string(list_transform(coalesce(telescopes, []), lambda t: {_CLASS_SQL}), ',') as telescopes, len(coalesce(objects, [])) as objects, band, total_hours, files from library_target l join e using (target_id)""",
 )
 def shared_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """What may leave the archive: hashed ids, coarse places and hours, no names or paths."""
-    lib = _library(spark, sf)
-    ident = F.substring(F.sha2(F.concat(F.lit("salt:"), F.col("target_id").cast("string")), 256), 1, 16)
-    return lib.select(ident.alias("id"), F.round("center_ra_deg", 1).alias("ra_deg"), F.round("center_dec_deg", 1).alias("dec_deg"), F.round(F.round(Q.total_hours(), 6), 1).alias("hours"), F.size(F.map_keys("filters")).alias("filters"))
+    """What may leave the archive, one row a band: hidden ids, apertures for telescopes, hours in tenths."""
+    shared = sanitised(_library(spark, sf), SALT)
+    rows = shared.select("target_id", F.array_join("telescopes", ",").alias("telescopes"), F.size("objects").cast("bigint").alias("objects"), F.explode("filters").alias("band", "f"))
+    return rows.select("target_id", "telescopes", "objects", "band", "f.total_hours", "f.files")

@@ -133,14 +133,39 @@ def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     fs.delete(old, True)
 
 
-def sanitised(targets: DataFrame, salt: str) -> DataFrame:
-    """What may leave the archive: a list of allowed columns, hashed ids, coarse figures. Raises when read if a path slipped through."""
-    ident = F.substring(F.sha2(F.concat(F.lit(salt), F.col("target_id").cast("string")), 256), 1, 16)
-    hours = F.transform_values("filters", lambda _, f: F.round(F.coalesce(f["total_hours"], F.lit(0.0)), 1))
-    classes = F.array_distinct(F.transform(F.coalesce("telescopes", F.array().cast("array<string>")), N.aperture_class))
-    df = targets.select(ident.alias("id"), F.round("center_ra_deg", 1).alias("ra_deg"), F.round("center_dec_deg", 1).alias("dec_deg"), hours.alias("hours"), classes.alias("apertures"))
-    leak = F.exists(F.map_keys("hours"), lambda k: k.rlike(r"[\\/]"))
-    return df.withColumn("id", F.when(F.coalesce(leak, F.lit(False)), F.raise_error(F.lit("a path in a shared table"))).otherwise(F.col("id")))
+#: What may leave the archive of a band: figures in tenths of an hour and flags, never the rigs.
+BAND_HOURS = ("total_hours", "captured_hours", "accepted_hours", "integrated_hours")
+
+
+def sanitised(targets: DataFrame, salt: str, key: str = "target_id") -> DataFrame:
+    """What may leave the archive: allowed columns only, ids hashed with a secret salt, names that look like paths hidden, apertures for telescopes, figures in tenths.
+
+    ``filters`` is a map of structs; of each band all hours are kept that the
+    struct has (0 where null), the files, and the basis and flag of the
+    headline. A path anywhere in what is left raises when read. Columns that
+    aren't there are left out.
+    """
+    has = set(targets.columns)
+    ident = F.concat(F.lit("f_"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), F.col("center_ra_deg").cast("string"), F.col("center_dec_deg").cast("string")), 256), 1, 12))
+    out = {"target_id": ident}
+    if "objects" in has:
+        out["objects"] = F.transform(F.coalesce("objects", F.array().cast("array<string>")), lambda o: F.when((F.coalesce(o, F.lit("")) == "") | o.rlike(r"(?i)[:\\/]|\.(?:fits?|xisf)$"), "unknown").otherwise(o))
+    for c in ("center_ra_deg", "center_dec_deg", "center_l_deg", "center_b_deg", "pix_arcsec", "rotation_deg", "fov_arcmin", "corners_icrs"):
+        if c in has:
+            out[c] = F.col(c)
+    out["telescopes"] = F.transform(F.coalesce("telescopes", F.array().cast("array<string>")), N.aperture_class)
+    inner = targets.schema["filters"].dataType.valueType.names
+    keep = lambda f: [
+        *(F.round(F.coalesce(f[h], F.lit(0.0)), 1).alias(h) for h in BAND_HOURS if h in inner),
+        F.coalesce(f["files"], F.lit(0)).alias("files"),
+        *([f["headline_basis"].alias("headline_basis")] if "headline_basis" in inner else []),
+        *([F.coalesce(f["stale_master"], F.lit(False)).alias("stale_master")] if "stale_master" in inner else []),
+    ]
+    out["filters"] = F.transform_values("filters", lambda _, f: F.struct(*keep(f)))
+    df = targets.select(*(v.alias(k) for k, v in out.items()))
+    texts = F.concat(F.coalesce(F.map_keys("filters"), F.array().cast("array<string>")), F.col("telescopes"), *([F.col("objects")] if "objects" in has else []))
+    leak = F.coalesce(F.exists(texts, lambda k: k.rlike(r"[\\/]|^~|\.(?:fits?|xisf)$")), F.lit(False))
+    return df.withColumn("target_id", F.when(leak, F.raise_error(F.lit("a path in a shared table"))).otherwise(F.col("target_id")))
 
 
 def summary(bands: DataFrame, targets: int = 15) -> str:

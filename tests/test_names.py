@@ -60,4 +60,11 @@ def test_sexagesimal(spark):
 
 
 def test_aperture(spark):
-    assert values(spark, N.aperture_class, ["RedCat 51", "Scope 80mm", '8" RC', "Newton 200/1000", "none", None]) == ["small", "medium", "large", "large", "unknown", "unknown"]
+    names = ["RedCat 51", "Scope 80mm", '8" RC', "Newton 200/1000", "Esprit 100 ED", "AP110", "C9.25 SCT", "Dob 12 inch", "Tube 12", "none", "", None]
+    assert values(spark, N.aperture_class, names) == ["51mm refractor", "80mm telescope", "203mm telescope", "200mm reflector", "100mm refractor", "110mm refractor", "telescope", "305mm reflector", "telescope", "telescope", "telescope", "telescope"]
+
+
+def test_makers_and_series(spark):
+    """One maker after the other comes off; a series is known by its words, however they are joined."""
+    got = values(spark, N.canonical_filter, ["Antlia Ha", "ZWO Antlia OIII", "zwo_baader_astronomik_sii", "ZWO Optolong", "Baader 2", "Antlia Baader Weird 5", "SV220 Ha 3nm", "Svbony SV-220 SII OIII", "sv240", "SVBONY SV 220", "SV2200"])
+    assert got == ["Ha", "OIII", "SII", "OPTOLONG", None, "WEIRD 5", "SV220 Ha-OIII 3nm", "SV220 SII-OIII 7nm", "SV240", "SV220", "SV2200"]

@@ -115,8 +115,23 @@ def test_manifest_and_shared_checks(spark, tmp_path):
         B.check_shared(t.withColumn("objects", F.array(F.lit("/home/me/x"))))
     with pytest.raises(ValueError, match="most"):
         B.check_shared(t, 1)
-    row = B.sanitised(t, "s").orderBy("ra_deg").collect()[-1]
-    assert row["hours"] == {"Ha": 1.3} and len(row["id"]) == 16 and "target_id" not in row.asDict()
+    row = B.sanitised(t, "s").orderBy("center_ra_deg").collect()[-1]
+    assert row["filters"]["Ha"].asDict() == {"total_hours": 1.3, "files": 2} and row["target_id"].startswith("f_") and len(row["target_id"]) == 14
+    assert row["telescopes"] == ["80mm telescope"] and "cameras" not in row.asDict()
+    assert row["target_id"] != B.sanitised(t, "other").orderBy("center_ra_deg").collect()[-1]["target_id"]
+
+
+def test_shared_figures_are_kept(spark):
+    """All hours, the basis and the stale flag of a band leave the archive, the rigs don't; paths are hidden or stop it."""
+    band = "struct<total_hours:double,captured_hours:double,accepted_hours:double,integrated_hours:double,files:int,headline_basis:string,stale_master:boolean,rigs:array<string>>"
+    rows = [(1, ["M 1", "C:\\x", "a.fits", None], 10.0, 20.0, ["Newton 200"], {"Ha": (1.26, 2.0, None, 0.04, 3, "captured", None, ["r"])}), (2, None, None, None, None, None)]
+    t = spark.createDataFrame(rows, f"target_id int, objects array<string>, center_ra_deg double, center_dec_deg double, telescopes array<string>, filters map<string,{band}>")
+    one, two = B.sanitised(t, "s").orderBy(F.col("center_ra_deg").desc()).collect()
+    assert one["filters"]["Ha"].asDict() == {"total_hours": 1.3, "captured_hours": 2.0, "accepted_hours": 0.0, "integrated_hours": 0.0, "files": 3, "headline_basis": "captured", "stale_master": False}
+    assert one["objects"] == ["M 1", "unknown", "unknown", "unknown"] and one["telescopes"] == ["200mm reflector"] and two["filters"] is None
+    bad = t.withColumn("filters", F.map_from_arrays(F.array(F.lit("/home/x")), F.map_values("filters"))).where("target_id = 1")
+    with pytest.raises(Exception, match="path"):
+        B.sanitised(bad, "s").collect()
 
 
 def test_catalogue(spark, tmp_path):
