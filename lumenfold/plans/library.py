@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lumenfold.operators import sky
 from lumenfold.plans.problems import P5_SQL
 from lumenfold.plans.registry import Registry
 from lumenfold.session import cut, read
+from lumenfold.sources.tables import sanitised
 
 registry = Registry()
 query = registry.query
