@@ -15,9 +15,34 @@ ANOMALY_SHARE, ANOMALY_HOURS = 0.05, 0.1
 RIG = ("target_id", "band", "rig_fold")
 
 
-def credited(members: DataFrame) -> DataFrame:
-    """One row a member and band that it credits in full."""
-    return members.withColumn("band", F.explode(N.bands_for(F.col("filter"), F.col("colour")))).withColumn("rig_fold", F.lower("rig_key"))
+def folders_of(members: DataFrame) -> DataFrame:
+    """Members summed by folder, filter and rig, before any of them is credited to several bands. Written once: both the rigs and the nested folders are made from it."""
+    sub = (F.col("role") == "folder_sub") & F.col("counts_captured")
+    master = F.col("role") != "folder_sub"
+    rank = F.struct(F.col("depth_known"), F.coalesce("hours", F.lit(0.0)).alias("hours"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("path", F.lit("")).alias("path"), F.col("session_root"))
+    return cut(
+        members.groupBy("target_id", "filter", "colour", F.lower("rig_key").alias("rig_fold"), "bucket").agg(
+            F.min("rig_key").alias("rig_key"),
+            F.sum(F.when(sub, F.col("hours"))).alias("captured"),
+            F.sum(F.when(sub & F.col("accepted"), F.col("hours"))).alias("accepted"),
+            F.sum(F.when(sub & ~F.col("accepted"), F.col("hours"))).alias("rejected"),
+            F.sum(F.when(sub, F.col("n_subs"))).alias("n_subs"),
+            F.count_if(sub).alias("n_blocks"),
+            F.count_if(sub & ~F.col("accepted")).alias("n_rejected"),
+            F.count_if(master).alias("n_masters"),
+            F.max(F.when(master, rank)).alias("m"),
+            F.collect_set(F.when(sub, F.col("session_root"))).alias("roots"),
+            F.collect_set(F.when(master, F.coalesce("session_root", F.lit("")))).alias("master_roots"),
+            F.min(F.when(sub, F.col("date"))).alias("first_sub_date"),
+            F.max(F.when(sub, F.col("date"))).alias("last_sub_date"),
+            F.max(F.when(master, F.col("date"))).alias("last_master_date"),
+        )
+    )
+
+
+def credited(folders: DataFrame) -> DataFrame:
+    """One row a folder and band that it credits in full."""
+    return folders.withColumn("band", F.explode(N.bands_for(F.col("filter"), F.col("colour"))))
 
 
 def ancestors(path: Column) -> Column:
@@ -29,12 +54,10 @@ def ancestors(path: Column) -> Column:
 def nested_rejects(credits: DataFrame) -> DataFrame:
     """Hours, by rig, of rejected blocks that lie below another captured block: those were counted there already.
 
-    Blocks are first summed by folder. A folder's own ancestors are then looked
-    up among the folders: an equi-join, not a comparison of every pair of paths.
+    A folder's own ancestors are looked up among the folders: an equi-join, not
+    a comparison of every pair of paths.
     """
-    blocks = credits.where("role = 'folder_sub' and counts_captured")
-    hours = F.sum(F.when(~F.col("accepted"), F.col("hours")))
-    folders = cut(blocks.groupBy(*RIG, "bucket").agg(hours.alias("rejected_hours")))
+    folders = credits.where("n_blocks > 0").groupBy(*RIG, "bucket").agg(F.sum("rejected").alias("rejected_hours"))
     at = folders.select(*RIG, F.array_join(N.segments(F.col("bucket")), "/").alias("__at")).distinct()
     below = folders.where("rejected_hours is not null").select(*RIG, "bucket", "rejected_hours", F.explode(ancestors(F.col("bucket"))).alias("__at")).join(at, [*RIG, "__at"], "left_semi")
     once = below.groupBy(*RIG, "bucket").agg(F.first("rejected_hours").alias("h"))
@@ -49,24 +72,20 @@ def by_rig(members: DataFrame) -> DataFrame:
     counts_captured. Hours stay unrounded. Of several masters the deepest counts,
     a known depth before an unknown one; masters are never added up.
     """
-    credits = credited(members)
-    sub = (F.col("role") == "folder_sub") & F.col("counts_captured")
-    master = F.col("role") != "folder_sub"
-    rank = F.struct(F.col("depth_known"), F.coalesce("hours", F.lit(0.0)).alias("hours"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("path", F.lit("")).alias("path"), F.col("session_root"))
+    credits = credited(folders_of(members))
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     rigs = credits.groupBy(*RIG).agg(
         F.min("rig_key").alias("rig_key"),
-        F.coalesce(F.sum(F.when(sub, F.col("hours"))), F.lit(0.0)).alias("captured_hours"),
-        F.coalesce(F.sum(F.when(sub & F.col("accepted"), F.col("hours"))), F.lit(0.0)).alias("plain_accepted"),
-        F.coalesce(F.sum(F.when(sub, F.col("n_subs"))), F.lit(0)).alias("n_subs"),
-        F.count_if(sub).alias("n_blocks"),
-        F.count_if(sub & ~F.col("accepted")).alias("n_rejected"),
-        F.count_if(master).alias("n_masters"),
-        F.max(F.when(master, rank)).alias("m"),
-        F.collect_set(F.when(sub, F.col("session_root"))).alias("roots"),
-        F.collect_set(F.when(master, F.coalesce("session_root", F.lit("")))).alias("master_roots"),
-        F.min(F.when(sub, F.col("date"))).alias("first_sub_date"),
-        F.max(F.when(sub, F.col("date"))).alias("last_sub_date"),
-        F.max(F.when(master, F.col("date"))).alias("last_master_date"),
+        F.coalesce(F.sum("captured"), F.lit(0.0)).alias("captured_hours"),
+        F.coalesce(F.sum("accepted"), F.lit(0.0)).alias("plain_accepted"),
+        F.coalesce(F.sum("n_subs"), F.lit(0)).alias("n_subs"),
+        *(F.sum(c).alias(c) for c in ("n_blocks", "n_rejected", "n_masters")),
+        F.max("m").alias("m"),
+        every("roots").alias("roots"),
+        every("master_roots").alias("master_roots"),
+        F.min("first_sub_date").alias("first_sub_date"),
+        F.max("last_sub_date").alias("last_sub_date"),
+        F.max("last_master_date").alias("last_master_date"),
     )
     df = rigs.join(nested_rejects(credits), [*RIG], "left")
     integrated = F.coalesce(F.col("m.hours"), F.lit(0.0))

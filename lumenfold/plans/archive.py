@@ -16,8 +16,7 @@ query = registry.query
 
 def normalised(frames: DataFrame) -> DataFrame:
     """Frames with canonical filter, telescope, camera and rig."""
-    df = N.by_value(frames, "raw_filter", "filter", N.canonical_filter)
-    df = N.by_value(N.by_value(df, "raw_scope", "telescope", N.telescope_name), "raw_camera", "camera", N.camera_name)
+    df = N.by_values(frames, {"raw_filter": ("filter", N.canonical_filter), "raw_scope": ("telescope", N.telescope_name), "raw_camera": ("camera", N.camera_name)})
     return df.withColumn("rig_key", N.rig_key(F.col("telescope"), F.col("camera")))
 
 
