@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,7 +38,7 @@ def common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         for u, v, s, t in zip(p, nxt, side, s2):
             if s >= 0:
                 out.append(u)
-            if (s > 0) != (t > 0) and s != t and (s >= 0) != (t >= 0):
+            if (s >= 0) != (t >= 0):
                 out.append(u + (v - u) * (s / (s - t)))
         p = np.array(out).reshape(-1, 2)
     return p
@@ -91,14 +93,18 @@ def near_fields(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of fields whose footprints could touch or whose centres are close, with separation and overlap.
 
     Both sides: l or r (id), ra, dec, cra, cdec (arrays of corners, null if unknown),
-    field (short side in arcmin, null if unknown), reach (degrees).
+    field (short side in arcmin, null if unknown), reach (degrees). The right
+    fields are joined by size, in powers of two, so a large one widens the
+    search for itself alone.
     """
-    far = right.agg(F.max("reach")).first()[0] or 0.0
     a = left.select("l", F.col("cra").alias("cra_l"), F.col("cdec").alias("cdec_l"), F.col("field").alias("field_l"), F.col("reach").alias("reach_l"), S.xyz(F.col("ra"), F.col("dec")).alias("__c"))
-    b = right.select("r", F.col("cra").alias("cra_r"), F.col("cdec").alias("cdec_r"), F.col("field").alias("field_r"), F.col("reach").alias("reach_r"), S.xyz(F.col("ra"), F.col("dec")).alias("__v"))
-    pairs = sky_join(b, a, F.col("reach_l") + F.lit(float(far)))
+    # a reach is at most half a turn: some twenty sizes
+    right = right.withColumn("__size", F.greatest(F.lit(-12), F.ceil(F.log2(F.greatest("reach", F.lit(1e-9))))).cast("int"))
+    sizes = sorted(r[0] for r in right.select("__size").where("__size is not null").distinct().collect())
+    b = right.select("__size", "r", F.col("cra").alias("cra_r"), F.col("cdec").alias("cdec_r"), F.col("field").alias("field_r"), F.col("reach").alias("reach_r"), S.xyz(F.col("ra"), F.col("dec")).alias("__v"))
+    pairs = reduce(DataFrame.unionByName, [sky_join(b.where(F.col("__size") == s), a, F.col("reach_l") + F.lit(2.0**s)) for s in sizes or [0]])
     pairs = pairs.where(F.col("sep_deg") <= F.col("reach_l") + F.col("reach_r"))
-    return pairs.withColumn("overlap", overlap(F.col("cra_l"), F.col("cdec_l"), F.col("cra_r"), F.col("cdec_r"))).drop("__c", "__v")
+    return pairs.withColumn("overlap", overlap(F.col("cra_l"), F.col("cdec_l"), F.col("cra_r"), F.col("cdec_r"))).drop("__c", "__v", "__size")
 
 
 def duplicate_fields(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,11 +8,16 @@ no seam and no pole. Candidates that share a cube are verified exactly.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.functions import sphere as S
+from lumenfold.session import cut
 
 #: Level k has cubes with a side of 2 / 2**k; level 20 is 0.4 arcsec.
 FINEST = 20
@@ -23,10 +28,10 @@ def _level(radius: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(2.0 / F.greatest(radius, F.lit(1e-9)))))).cast("int")
 
 
-def _cell(level: Column, i: Column, j: Column, k: Column) -> Column:
-    """Level and three indices of up to 2**21 as one number."""
+def _cell(i: Column, j: Column, k: Column) -> Column:
+    """Three indices of up to 2**20 as one number."""
     part = lambda c, by: F.shiftleft(c.cast("bigint"), by)
-    return F.xxhash64(level, part(i, 42).bitwiseOR(part(j, 21)).bitwiseOR(k.cast("bigint")))
+    return part(i, 42).bitwiseOR(part(j, 21)).bitwiseOR(k.cast("bigint"))
 
 
 def _index(v: Column, level: Column) -> Column:
@@ -36,32 +41,38 @@ def _index(v: Column, level: Column) -> Column:
 
 
 def point_cells(v: Column, levels: list[int]) -> Column:
-    """Array of the cells that hold a unit vector, one for each level."""
-    return F.array(*(_cell(F.lit(n), *(_index(v[c], F.lit(n)) for c in "xyz")) for n in levels))
+    """Array of level and cell that hold a unit vector, one for each level."""
+    return F.array(*(F.struct(F.lit(n).alias("__level"), _cell(*(_index(v[c], F.lit(n)) for c in "xyz")).alias("__cell")) for n in levels))
 
 
-def ball_cells(v: Column, radius: Column, level: Column) -> Column:
-    """Array of the cells of ``level`` that a ball round a unit vector meets: at most 27."""
+def cells_of_balls(v: np.ndarray, radius: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of its ``level`` that each ball round a unit vector meets, and the ball of each; at most three a side, as a side is no shorter than the radius."""
+    n = np.exp2(level)[:, None]
+    index = lambda x: np.clip(np.floor((x + 1.0) * n / 2.0), 0, n).astype(np.int64)
+    low, high = index(v - radius[:, None]), index(v + radius[:, None])
+    side = 2.0 / n
+    at = low[:, :, None] + np.arange(3)  # ball, axis, place
+    start = at * side[:, :, None] - 1.0
+    gap = np.maximum(np.maximum(start - v[:, :, None], v[:, :, None] - start - side[:, :, None]), 0.0) ** 2
+    gap = np.where(at <= high[:, :, None], gap, np.inf)
+    far = gap[:, 0, :, None, None] + gap[:, 1, None, :, None] + gap[:, 2, None, None, :]
+    ball, i, j, k = np.nonzero(far <= (radius * radius * (1 + 1e-9) + 1e-15)[:, None, None, None])
+    return ball, (at[ball, 0, i] << 42) | (at[ball, 1, j] << 21) | at[ball, 2, k]
 
-    def span(c: str) -> Column:
-        return F.sequence(_index(v[c] - radius, level), _index(v[c] + radius, level))
 
-    side = 2.0 / F.pow(F.lit(2.0), level)
+def with_cells(balls: DataFrame, centre: str) -> DataFrame:
+    """``balls`` (with __chord and __level) once for each cell that they meet, as ``__cell``."""
 
-    def gap(i: Column, c: str) -> Column:
-        low = i * side - 1.0
-        d = F.greatest(low - v[c], v[c] - low - side, F.lit(0.0))
-        return d * d
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(b.schema.get_field_index(centre))
+            v = np.stack([c.field(x).to_numpy(zero_copy_only=False) for x in range(3)], 1)
+            get = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            ball, cell = cells_of_balls(v, get("__chord"), get("__level"))
+            rows = b.take(pa.array(ball))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell)], names=[*b.schema.names, "__cell"])
 
-    def meets(i: Column, j: Column, k: Column) -> Column:
-        return gap(i, "x") + gap(j, "y") + gap(k, "z") <= radius * radius * (1 + 1e-9) + 1e-15
-
-    return F.flatten(
-        F.transform(
-            span("x"),
-            lambda i: F.flatten(F.transform(span("y"), lambda j: F.transform(F.filter(span("z"), lambda k: meets(i, j, k)), lambda k: _cell(level, i, j, k)))),
-        )
-    )
+    return balls.mapInArrow(spread, T.StructType([*balls.schema.fields, T.StructField("__cell", T.LongType())]))
 
 
 def chord(radius_rad: Column) -> Column:
@@ -82,25 +93,19 @@ def sky_join(points: DataFrame, centres: DataFrame, radius_deg: Column | float,
     nothing. Adds ``sep_deg``. A crowded cell is a skewed join key, which
     adaptive execution splits, as it does a cell with many centres.
     """
-    radius = F.radians(F.lit(radius_deg) if isinstance(radius_deg, int | float) else radius_deg)
+    constant = isinstance(radius_deg, int | float)
+    radius = F.radians(F.lit(radius_deg) if constant else radius_deg)
     balls = centres.withColumn("__rad", radius).where(F.col(centre).isNotNull() & (F.col("__rad") >= 0))
     balls = balls.withColumn("__chord", chord(F.col("__rad"))).withColumn("__level", _level(F.col("__chord")))
-    levels = _levels(balls)
-    if not levels:
-        levels = [0]
-    cells = balls.withColumn("__cell", F.explode(ball_cells(F.col(centre), F.col("__chord"), F.col("__level"))))
-    spots = points.where(F.col(point).isNotNull()).withColumn("__cell", F.explode(point_cells(F.col(point), levels)))
-    pairs = spots.join(cells, "__cell").withColumn("__angle", S.angle(F.col(point), F.col(centre)))
-    # cells of unlike levels may share a hash; the distance decides and a pair meets in one cell only
-    own = F.exists(point_cells_one(F.col(point), F.col("__level")), lambda c: c == F.col("__cell"))
-    kept = pairs.where((F.col("__angle") <= F.col("__rad") + 1e-12) & own)
+    # one radius has one level; the levels of many are looked up in their radii, which nothing else of the table is read for
+    levels = _levels(balls.limit(1) if constant else balls) or [0]
+    spots = points.where(F.col(point).isNotNull()).select("*", F.inline(point_cells(F.col(point), levels)))
+    # a point lies in one cell of a level, so a pair meets once
+    pairs = spots.join(with_cells(balls, centre), ["__level", "__cell"]).withColumn("__angle", S.angle(F.col(point), F.col(centre)))
+    kept = pairs.where(F.col("__angle") <= F.col("__rad") + 1e-12)
     return kept.withColumn("sep_deg", F.degrees("__angle")).drop("__cell", "__rad", "__chord", "__level", "__angle")
 
 
-def point_cells_one(v: Column, level: Column) -> Column:
-    return F.array(_cell(level, *(_index(v[c], level) for c in "xyz")))
-
-
 def _sum(corners: Column) -> Column:
     return F.aggregate(corners, S.vec(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda acc, c: S.plus(acc, c))
 
@@ -150,7 +155,8 @@ def points_in_regions(points: DataFrame, targets: DataFrame, point_id: str = "ca
     their pairs once. Other columns are ignored.
     """
     spots = points.select(F.col(point_id).alias("__p"), S.xyz(F.col("ra_deg"), F.col("dec_deg")).alias("__v"))
-    fields = regions(targets.withColumn("__r", F.col(region_id)), ["__r"])
+    # written once: the levels in use and the cells are both read from it
+    fields = cut(regions(targets.withColumn("__r", F.col(region_id)), ["__r"]))
     near = sky_join(spots, fields, F.col("__reach"))
     inside = F.forall("__normals", lambda n: S.dot(n, F.col("__v")) >= 0)
     return near.where(inside).select(F.col("__p").alias(point_id), F.col("__r").alias(region_id)).distinct()

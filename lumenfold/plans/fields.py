@@ -26,9 +26,13 @@ def shapes(lib: DataFrame, key: str) -> DataFrame:
 
 @query("duplicate_fields")
 def duplicate_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields of the library that overlap another one with a smaller id."""
+    """Fields of the library that share 30 percent with the field of a scheduled target, which is taken for a square of 40 arcmin."""
     lib = read(spark, sf, "library_target")
-    pairs = geometry.near_fields(shapes(lib, "l"), shapes(lib, "r")).where("r < l and overlap.small >= 0.3")
+    ra = F.when(F.col("ra").between(0, 24), F.col("ra") * 15)
+    none = F.lit(None).cast("array<array<double>>")
+    sched = read(spark, sf, "scheduler_target").where("ra is not null and dec between -90 and 90 and not (ra = 0 and dec = 0)").where(ra.isNotNull())
+    sched = sched.select(F.col("id").cast("bigint").alias("target_id"), ra.alias("center_ra_deg"), F.col("dec").alias("center_dec_deg"), F.array(F.lit(40.0), F.lit(40.0)).alias("footprint_arcmin"), F.col("rotation").alias("rotation_deg"), none.alias("corners_icrs"))
+    pairs = geometry.near_fields(shapes(lib, "l"), shapes(sched, "r")).where("overlap.small >= 0.3")
     return pairs.select("l", "r", F.round("overlap.small", 6).alias("overlap"), F.round("sep_deg", 6).alias("sep_deg"))
 
 

@@ -11,6 +11,7 @@ from lumenfold.functions import sphere as S
 from lumenfold.operators import coverage as C
 from lumenfold.operators import search as Q
 from lumenfold.operators import sky
+from lumenfold.operators.rank import dense_ids
 from lumenfold.plans.problems import P5_SQL
 from lumenfold.plans.registry import Registry
 from lumenfold.session import cut, read
@@ -104,13 +105,16 @@ def gear_of_library(spark: SparkSession, sf: str) -> DataFrame:
     return df.join(names, "telescope").where("targets > 0")
 
 
-@query("targets_by_name", "select target_id, row_number() over (order by regexp_replace(lower(coalesce(objects[1], '')), '\\s+', ' ', 'g'), target_id) as place from library_target where objects is not null and len(objects) > 0 and regexp_full_match(lower(objects[1]), '[a-z ]+') qualify place <= 200")
+@query(
+    "targets_by_name",
+    r"""with n as (select target_id, list_transform(regexp_extract_all(lower(regexp_replace(coalesce(objects[1], ''), '\s+', ' ', 'g')), '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(cast(len(ltrim(p, '0')) as varchar), 10, '0') || ltrim(p, '0') else p end) as parts
+      from library_target where len(objects) > 0) select target_id, row_number() over (order by array_to_string(parts, ''), target_id) as place from n""",
+)
 def targets_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 200 of all named targets in natural order of their names: a distributed sort and a limit."""
+    """All named targets in natural order of their names: ranges are sorted and numbered apart."""
     first = F.coalesce(F.try_element_at("objects", F.lit(1)), F.lit(""))
-    df = _library(spark, sf).where(F.size("objects") > 0).withColumn("key", Q.natural_key(F.regexp_replace(first, r"\s+", " ")))
-    top = df.orderBy("key", "target_id").limit(200).select("target_id", "key")
-    return top.select("target_id", F.row_number().over(Window.orderBy("key", "target_id")).alias("place"))
+    df = _library(spark, sf).where(F.size("objects") > 0).select("target_id", Q.natural_key(F.regexp_replace(first, r"\s+", " ")).alias("key"))
+    return dense_ids(df, [F.col("key").asc(), F.col("target_id").asc()], "place", 1).select("target_id", "place")
 
 
 NEAR_SQL = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,15 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
         if at is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if at is None:
-            at = sc._lumenfold_dir = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+            folder = tempfile.mkdtemp(prefix="lumenfold-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            at = sc._lumenfold_dir = "file://" + folder
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
 
 
+#: Paths that this process made in shared folders and that nobody has removed yet.
+_SCRATCH: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; what is read from it lives until :func:`clean`."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch paths of this process: to be called once their results were taken."""
+    for path in sorted(_SCRATCH):
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,6 +62,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.discard(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
