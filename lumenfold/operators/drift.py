@@ -145,18 +145,22 @@ def _plain_number(v: Column) -> Column:
     return F.when(whole, v.cast("bigint").cast("string")).otherwise(v.cast("string"))
 
 
-def _value(v: Column, kind: Column) -> Column:
-    """A rescued value as text; equal values of a kind give equal texts."""
-    number = F.when(F.schema_of_variant(v) == "BIGINT", v.try_cast("string")).otherwise(_plain_number(v.try_cast("double")))
-    return F.concat(kind, F.lit(" "), F.when(kind == "number", number).otherwise(F.to_json(v)))
+def _value(v: Column, s: Column) -> Column:
+    """A rescued value of schema ``s`` as its kind and text; equal values of a kind give equal texts."""
+    number = F.when(s == "BIGINT", v.try_cast("string")).otherwise(_plain_number(v.try_cast("double")))
+    return (
+        F.when(s == "STRING", F.concat(F.lit("text "), v.try_cast("string")))
+        .when(s == "BOOLEAN", F.concat(F.lit("boolean "), v.try_cast("string")))
+        .when(s.startswith("ARRAY"), F.concat(F.lit("list "), F.to_json(v)))
+        .when(s.startswith("OBJECT"), F.concat(F.lit("object "), F.to_json(v)))
+        .otherwise(F.concat(F.lit("number "), number))
+    )
 
 
 def _typed_value(f: Field) -> Column:
     """The same of a typed column."""
     c = F.col(f.name)
-    text = _plain_number(c) if f.kind == "double" else F.to_json(F.to_variant_object(c)) if f.kind.startswith("array") else c.cast("string") if KIND[f.kind] != "text" else F.to_json(F.to_variant_object(F.array(c)))
-    if KIND[f.kind] == "text":
-        text = F.substring(text, F.lit(2), F.length(text) - 2)
+    text = _plain_number(c) if f.kind == "double" else F.to_json(c) if f.kind.startswith("array") else c.cast("string")
     return F.concat(F.lit(KIND[f.kind] + " "), text)
 
 
@@ -203,16 +207,18 @@ def field_changes(table: DataFrame, fields: list[Field], identity: str = "guid")
     r = _object(RESCUED)
     own = F.try_element_at("__r", F.lit(identity)).try_cast("string")
     id_of = F.coalesce(F.col(identity).cast("string"), own) if identity in names else own
-    kept = F.filter(F.array(*(F.struct(F.lit(f.name).alias("field"), _typed_value(f).alias("v")) for f in fields)), lambda x: x["v"].isNotNull())
-    loose = F.filter(F.coalesce(F.map_entries("__r"), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~F.is_variant_null(e["value"]) & (e["key"] != CORRUPT))
-    loose = F.transform(loose, lambda e: F.struct(e["key"].alias("field"), _value(e["value"], _kind(e["value"])).alias("v")))
+    # values are worked out of the wanted fields alone
+    wanted = lambda name: F.array_contains("names", name)
+    kept = F.array_compact(F.array(*(F.when(wanted(F.lit(f.name)) & F.col(f.name).isNotNull(), F.struct(F.lit(f.name).alias("field"), _typed_value(f).alias("v"))) for f in fields)))
+    loose = F.filter(F.coalesce(F.map_entries("__r"), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: wanted(e["key"]) & (e["key"] != CORRUPT))
+    loose = F.filter(F.transform(loose, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x"), F.schema_of_variant(e["value"]).alias("s"))), lambda e: e["s"] != "VOID")
+    loose = F.transform(loose, lambda e: F.struct(e["k"].alias("field"), _value(e["x"], e["s"]).alias("v")))
     held = raw.withColumnsRenamed({"file_seq": "at"}).withColumn("__r", r).withColumn("id", id_of).where("id is not null")
 
     def values(fields: DataFrame, at: str, name: str) -> DataFrame:
         lists = fields.groupBy("feed", "file_seq", F.col(at).alias("at")).agg(F.collect_set(name).alias("names"))
         rows = held.join(lists, ["feed", "at"])
-        wanted = lambda xs: F.filter(xs, lambda x: F.array_contains("names", x["field"]))
-        got = rows.select("feed", "file_seq", "id", F.inline(F.concat(wanted(kept), wanted(loose))).alias(name, "v"))
+        got = rows.select("feed", "file_seq", "id", F.inline(F.concat(kept, loose)).alias(name, "v"))
         return got.groupBy("feed", "file_seq", "id", name).agg(F.collect_set("v").alias(f"{name}_v"))
 
     both_sides = pairs.select("feed", "file_seq", "before").distinct()
