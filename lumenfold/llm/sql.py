@@ -49,16 +49,16 @@ SPELLINGS = {
 
 #: What the SQL takes off beside a filter.
 PREFIXES = (r"\d+\s*:\s*", r"filter[ :]+(?=\D)", r"(?:corvane|antrel|obrix|baldric|nivalis)\s+")
+SUFFIXES = (r"\s*\([^()]*\)", r"[\s-]*\d+(?:\.\d+)?\s*nm", r"[\s-]+(?:filter|stars|short|long)")
 
 
 def p3_found() -> str:
     """Forms of each value by a recursive query, then the nearest entry; typing errors count as in the operator."""
     from lumenfold.llm.canon import fold
-    from lumenfold.llm.filters import BESIDE
 
     spelled = ", ".join(f"({_quoted(name)}, {_quoted(fold(s))})" for name, ss in SPELLINGS.items() for s in ss)
     # look-ahead isn't known to this dialect: the letter is put back instead
-    cut = [(rf"^(?:{p})", "") if "(?=" not in p else (rf"^{p.replace('(?=', '(').replace(')', ')')}", r"\1") for p in PREFIXES] + [(rf"(?:{p})$", "") for p in BESIDE.suffixes]
+    cut = [(rf"^(?:{p})", "") if "(?=" not in p else (rf"^{p.replace('(?=', '(').replace(')', ')')}", r"\1") for p in PREFIXES] + [(rf"(?:{p})$", "") for p in SUFFIXES]
     steps = ", ".join(f"regexp_replace(t, {_quoted(p)}, {_quoted(r)})" for p, r in cut)
     folded = "trim(regexp_replace(lower(replace(replace(replace(v, 'Ã¼', 'ü'), 'Î±', 'α'), 'Î²', 'β')), '[\\s_]+', ' ', 'g'))"
     return f"""
