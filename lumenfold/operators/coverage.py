@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import healpix as H
 from lumenfold.functions import sphere as S
 
+#: Cells of one bitmap, the size of Spark's bitmap functions, and how many bitmaps a task holds (4 KB each) before it hands them on.
+BUCKET, HELD = 8 * 4096, 8192
+
 
 def cell_column(ra: Column, dec: Column, depth: int) -> Column:
     """Cell of a position; null without one."""
@@ -61,6 +67,51 @@ def sky_share(cells: DataFrame, depth: int = 10) -> Column:
     return F.count_distinct("cell") / F.lit(float(H.n_cells(depth)))
 
 
+def cell_bitmaps(footprints: DataFrame, depth: int = 10) -> DataFrame:
+    """band, bucket and bits: the cells of each band's footprints (``bands``, ``__ra``, ``__dec``) as bitmaps.
+
+    A task marks cells in place, so what it holds and sends follows the area of
+    the sky and not the footprints; one bucket may come from several tasks.
+    """
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            keys = list(held)
+            for i in range(0, len(keys), 256):
+                part = keys[i : i + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.string()), pa.array([k for _, k in part], pa.int64()), pa.array([held[k].tobytes() for k in part], pa.binary())], ["band", "bucket", "bits"])
+            held.clear()
+
+        for batch in batches:
+            for bands, ra, dec in zip(*(batch.column(c).to_pylist() for c in ("bands", "__ra", "__dec"))):
+                cells = H.cells_in_polygon(np.array(ra, float), np.array(dec, float), depth)  # sorted
+                byte = cells >> 3
+                first = np.flatnonzero(np.diff(byte, prepend=-1))
+                byte, bits = byte[first], np.bitwise_or.reduceat(np.uint8(1) << (cells & 7).astype(np.uint8), first)
+                for k in np.unique(byte // (BUCKET // 8)).tolist():
+                    own = byte // (BUCKET // 8) == k
+                    at, to = byte[own] % (BUCKET // 8), bits[own]
+                    for band in bands:
+                        if (band, k) not in held:
+                            held[band, k] = np.zeros(BUCKET // 8, np.uint8)
+                        held[band, k][at] |= to
+                if len(held) > HELD:
+                    yield from taken()
+        yield from taken()
+
+    return footprints.select("bands", "__ra", "__dec").mapInArrow(mark, "band string, bucket bigint, bits binary")
+
+
+def band_shares(targets: DataFrame, bands: DataFrame, depth: int = 10) -> DataFrame:
+    """Share of the sky that the footprints of each band cover (``bands``: target_id, band); a cell counts once."""
+    # never broadcast: there is a row for every target
+    rows = corner_arrays(targets).join(bands.groupBy("target_id").agg(F.collect_set("band").alias("bands")).hint("merge"), "target_id")
+    whole = cell_bitmaps(rows, depth).groupBy("band", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy("band").agg((F.sum(F.bitmap_count("bits")) / F.lit(float(H.n_cells(depth)))).alias("share"))
+
+
 def parents(cells: DataFrame, levels: int = 1) -> DataFrame:
     """Cells rolled up: a parent with how many of its children are there; complete parents have ``4 ** levels``."""
     return cells.select(F.shiftright("cell", 2 * levels).alias("cell")).groupBy("cell").agg(F.count("*").alias("children"))

@@ -207,9 +207,8 @@ def gap_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def coverage_share(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the sky that each filter covers; a cell counts once however many fields hold it."""
     lib = _library(spark, sf)
-    cells = C.footprint_cells(lib, DEPTH)
     bands = lib.select("target_id", F.explode("filters").alias("band", "f")).where("f.total_hours > 0").select("target_id", "band")
-    return cells.join(bands, "target_id").groupBy("band").agg(C.sky_share(cells, DEPTH).alias("share"))
+    return C.band_shares(lib, bands, DEPTH)
 
 
 @query("coverage_normalised")

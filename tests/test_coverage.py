@@ -118,3 +118,38 @@ def test_natural_key_of_long_numbers(spark):
     df = spark.createDataFrame([(n,) for n in reversed(names)], "n string")
     assert [r[0] for r in df.orderBy(Q.natural_key(F.col("n")), "n").collect()] == names
     assert df.select(Q.natural_key(F.col("n"))).distinct().count() == len(names)
+
+
+def test_band_shares_hold_bitmaps_not_cells(spark, monkeypatch):
+    """Cells are never rows: hundreds of fields over one place come back as a few bitmaps; a cell counts once a band."""
+    monkeypatch.setattr(C, "HELD", 3)
+    rng = np.random.default_rng(3)
+    rows, bands, want = [], [], {}
+    for i in range(300):
+        ra, dec = float(200.0 + rng.uniform(-1, 1)), float(rng.choice([88.5, -30.0]) + rng.uniform(-1, 1))
+        corners = [[ra + x / np.cos(np.radians(dec)), dec + y] for x, y in ((-0.3, -0.2), (0.3, -0.2), (0.3, 0.2), (-0.3, 0.2))]
+        own = [b for b in ("Ha", "OIII", "L") if rng.random() < 0.4]
+        rows.append((i // 2, ra, dec, None, 0.0, [[float(x) for x in c] for c in corners]))  # two footprints a target
+        bands += [(i // 2, b) for b in own]
+    rows.append((9999, None, None, None, None, None))
+    bands += [(9999, "Ha"), (None, "L"), (7777, "SII")]
+    lib = spark.createDataFrame(rows, "target_id int, center_ra_deg double, center_dec_deg double, footprint_arcmin array<double>, rotation_deg double, corners_icrs array<array<double>>")
+    of = spark.createDataFrame(bands, "target_id int, band string")
+    for t, _, _, _, _, c in rows[:-1]:
+        cells = set(H.cells_in_polygon(*np.array(c).T, 8).tolist())
+        for b in {b for k, b in bands if k == t}:
+            want.setdefault(b, set()).update(cells)
+    got = {r["band"]: r["share"] for r in C.band_shares(lib, of, 8).collect()}
+    assert got == {b: len(c) / H.n_cells(8) for b, c in want.items()}
+
+
+def test_coverage_share_sends_no_cells(spark):
+    from lumenfold.plans import library
+
+    src = "/root/testdata/sf0.001"
+    df = library.coverage_share(spark, src)
+    lib = library._library(spark, src)
+    cells = C.footprint_cells(lib, library.DEPTH).join(lib.select("target_id", F.explode("filters").alias("band", "f")).where("f.total_hours > 0"), "target_id")
+    want = {r["band"]: r["share"] for r in cells.groupBy("band").agg(C.sky_share(cells, library.DEPTH).alias("share")).collect()}
+    assert {r["band"]: r["share"] for r in df.collect()} == want and want
+    assert "explode(cell" not in df._jdf.queryExecution().toString() and df._jdf.queryExecution().toString().count("BroadcastExchange") == 0
