@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: stages of processing, the earliest wins
 STAGE_RANK = {"og": 0, "root": 1, "calibrated": 2, "registered": 3, "master": 4}
@@ -11,6 +15,9 @@ STAGE_RANK = {"og": 0, "root": 1, "calibrated": 2, "registered": 3, "master": 4}
 #: A folder loses frames to an earlier one only from so many, and so large a share, on.
 LEAST_SHARED, LEAST_SHARE = 5, 0.10
 
+#: Blocks whose places are kept in one number as bits.
+CHUNK = 8192
+
 
 def stage_winner(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks of the first stage that each session and filter has; later stages hold the same exposures.
@@ -46,38 +53,87 @@ def multisets(times: DataFrame) -> DataFrame:
     return whole.where("kinds > 1 and untimed = 0").drop("untimed")
 
 
-def _rank(df: DataFrame) -> Column:
-    """Blocks with more frames come first, then the smaller name."""
-    return F.struct((-F.col("frames")).alias("f"), F.col("block").alias("b"))
+def _first_holder(held: dict, times: list[tuple], size: int) -> int | None:
+    """Place of the first block that has every one of these times at least so often. ``held``: places by time, count and chunk of ``size``, as bits."""
+    levels = []
+    for t, n in times:
+        of = [chunks for m, chunks in held.get(t, {}).items() if m >= n]
+        if not of:
+            return None
+        levels.append(of)
+    # only chunks with a holder of the rarest time are looked at
+    levels.sort(key=lambda of: sum(map(len, of)))
+    for c in sorted(set().union(*levels[0])):
+        found = -1
+        for of in levels:
+            bits = 0
+            for chunks in of:
+                bits |= chunks.get(c, 0)
+            found &= bits
+            if not found:
+                break
+        if found:
+            return c * size + (found & -found).bit_length() - 1
+    return None
+
+
+def contained(ranked: DataFrame) -> DataFrame:
+    """grp, block and the keeper ``by``, for blocks (grp, block, times) whose times are all in an earlier one of the group.
+
+    Rows of a group come together, the first rank first. No pair is ever a row: a
+    task keeps which blocks of the group hold a time as bits, and the blocks that
+    hold all times of another are what these have in common.
+    """
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, held, blocks = None, 0, {}, None
+        for batch in batches:
+            own = batch.column("block")
+            before = len(blocks) if blocks is not None else 0
+            blocks = pa.chunked_array([*(blocks.chunks if before else []), own], own.type)
+            ends, flat = batch.column("times").offsets.to_pylist(), batch.column("times").values
+            t, n = flat.field("t"), flat.field("n").to_pylist()
+            t = (t.cast(pa.int64()) if pa.types.is_timestamp(t.type) else t).to_pylist()
+            inner, by = [], []
+            for i, g in enumerate(batch.column("grp").to_pylist()):
+                if g != group:
+                    group, start, held = g, before + i, {}
+                place = before + i - start
+                times = list(zip(t[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]))
+                known = [x for x in times if x[1] is not None]
+                if place and len(known) == len(times) and (first := _first_holder(held, times, CHUNK)) is not None:
+                    inner.append(i)
+                    by.append(start + first)
+                c, bit = place // CHUNK, 1 << place % CHUNK
+                for x, k in known:
+                    chunks = held.setdefault(x, {}).setdefault(k, {})
+                    chunks[c] = chunks.get(c, 0) | bit
+            at = pa.array(inner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), own.take(at), blocks.take(pa.array(by, pa.int64())).combine_chunks()], ["grp", "block", "by"])
+            # the open group goes on
+            blocks, start = blocks.slice(start), 0
+
+    grp, block = (ranked.schema[c].dataType for c in ("grp", "block"))
+    return ranked.select("grp", "block", "times").mapInArrow(find, T.StructType([T.StructField("grp", grp), T.StructField("block", block), T.StructField("by", block)]))
 
 
 def whole_copies(times: DataFrame) -> DataFrame:
     """Blocks whose capture times are all in an earlier-ranked block of the group: grp, block and the keeper.
 
     Blocks with a single time, or with untimed frames, aren't trusted. Equal
-    multisets are joined first, so thousands of copies cost one row; of the rest
-    a block is compared only with those that hold its rarest time, as a container
-    must. The keeper is the first-ranked container.
+    multisets are one row, so thousands of copies cost one row; the first of them
+    stands for it. Blocks with more frames rank first, then the smaller name; the
+    keeper is the first-ranked container.
     """
-    blocks = multisets(times).withColumn("rank", F.struct((-F.col("frames")).alias("f"), F.col("block").alias("b")))
-    # the copies of one multiset: its first-ranked block stands for it
-    firsts = blocks.groupBy("grp", "times").agg(F.min("rank").alias("first"))
-    same = blocks.join(firsts, ["grp", "times"]).where("rank > first").select("grp", "block", F.col("first.b").alias("keeper"), F.col("first").alias("by"))
-    reps = blocks.join(firsts, ["grp", "times"]).where("rank = first").select("grp", "block", "times", "kinds", "rank")
-    spread = reps.select("grp", "block", "kinds", "rank", F.explode("times").alias("e")).select("grp", "block", "kinds", "rank", F.col("e.t").alias("t"), F.col("e.n").alias("n"))
-    often = spread.groupBy("grp", "t").agg(F.count("*").alias("often"))
-    rare = spread.join(often, ["grp", "t"]).groupBy("grp", "block").agg(F.min_by(F.struct("t", "n"), F.struct("often", "t")).alias("r"))
-    probe = reps.join(rare, ["grp", "block"]).select("grp", F.col("block").alias("inner"), F.col("rank").alias("inner_rank"), F.col("times").alias("inner_times"), F.col("r.t").alias("t"), F.col("r.n").alias("least"))
-    holders = spread.select("grp", "t", F.col("block").alias("outer"), F.col("rank").alias("outer_rank"), "n")
-    pairs = probe.join(holders, ["grp", "t"]).where("outer_rank < inner_rank and n >= least").select("grp", "inner", "outer", "outer_rank", "inner_times")
-    outer = reps.select("grp", F.col("block").alias("outer"), F.map_from_entries(F.col("times")).alias("held"))
-    inside = pairs.join(outer, ["grp", "outer"]).where(F.forall("inner_times", lambda e: F.coalesce(F.try_element_at("held", e["t"]) >= e["n"], F.lit(False))))
-    contained = inside.groupBy("grp", "inner").agg(F.min("outer_rank").alias("by"))
-    found = contained.select("grp", F.col("inner").alias("block"), F.col("by.b").alias("keeper"), "by")
-    # a copy of a contained multiset goes to whatever holds it, if that ranks before its own first
-    again = same.select("grp", "block", F.col("keeper").alias("inner"), "by").join(contained.select("grp", "inner", F.col("by").alias("higher")), ["grp", "inner"], "left")
-    same = again.select("grp", "block", F.least(F.col("by"), F.coalesce("higher", "by")).alias("by")).select("grp", "block", F.col("by.b").alias("keeper"))
-    return found.select("grp", "block", "keeper").unionByName(same)
+    # one exchange: all that follows reads the same three columns of it
+    blocks = multisets(times).where("grp is not null and block is not null").select("grp", "block", "times").repartition("grp", "times")
+    firsts = blocks.groupBy("grp", "times").agg(F.min("block").alias("first"))
+    frames = F.aggregate("times", F.lit(0).cast("bigint"), lambda a, e: a + F.coalesce(e["n"], F.lit(0)).cast("bigint"))
+    ranked = firsts.select("grp", F.col("first").alias("block"), "times", frames.alias("frames")).repartition("grp").sortWithinPartitions("grp", F.desc("frames"), "block")
+    # a copy of a contained multiset goes to whatever holds it, which ranks before its own first
+    copies = blocks.join(firsts, ["grp", "times"]).select("grp", "block", "first")
+    kept = copies.join(contained(ranked).withColumnRenamed("block", "first"), ["grp", "first"], "left")
+    return kept.select("grp", "block", F.coalesce("by", "first").alias("keeper")).where("block <> keeper")
 
 
 def partial_copies(times: DataFrame) -> DataFrame:

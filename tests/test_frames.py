@@ -35,6 +35,30 @@ def test_whole_copies(spark, seed):
     assert got == want
 
 
+def test_whole_copies_never_pair_blocks(spark, monkeypatch):
+    """Folders of one group that all hold the same times: found in chunks, over several batches, and no row is a pair."""
+    monkeypatch.setattr(C, "CHUNK", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rnd = random.Random(5)
+    blocks = {f"b{i:03d}": (i % 2, Counter(rnd.choice("xyz") for _ in range(rnd.randint(2, 40)))) for i in range(200)}
+    rows = [(g, b, t, n) for b, (g, ts) in blocks.items() for t, n in ts.items()]
+    want = {}
+    for b, (g, ts) in blocks.items():
+        if len(ts) > 1:
+            rank = {o: (-us.total(), o) for o, (h, us) in blocks.items() if h == g and len(us) > 1 and all(us[t] >= n for t, n in ts.items())}
+            first = min(rank, key=rank.get)
+            if first != b:
+                want[b] = first
+    df = C.whole_copies(spark.createDataFrame(rows, "grp int, block string, t string, n int"))
+    got = {r["block"]: r["keeper"] for r in df.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(want) > 100
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # two joins, each by the block's own key: none by a time that it shares with others
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("(t#" in line for line in joins)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_partial_copies_one_by_one(spark, seed):
     blocks, rows = made(seed + 10)
