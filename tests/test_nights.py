@@ -157,6 +157,44 @@ def test_state_is_bounded_and_files_do_not_matter(spark, tmp_path):
     assert a._folders("closed") and len(a._folders("merged")) == 1 and len(a._folders("deltas")) < 4
 
 
+def test_closed_nights_are_not_read_again(spark, tmp_path, monkeypatch):
+    """Each batch runs twice, as after a failure: it reads open nights and what it put aside itself, never what others did."""
+    rnd = random.Random(8)
+    base = dt.datetime(2024, 3, 1, 5, tzinfo=UTC)
+    rs = []
+    for day in range(60):
+        for k in range(5):
+            at = base + dt.timedelta(days=day, minutes=rnd.randint(0, 300))
+            for seq in range(rnd.randint(1, 3)):
+                rs.append((len(rs), "site", f"d{day}k{k}", seq, at, at + dt.timedelta(hours=rnd.choice([0, 1, 5, 40, 90])), json.dumps({"hours": rnd.random(), "frames": 2}), None))
+    rs.sort(key=lambda r: r[5])
+    src, step = str(tmp_path / "in"), len(rs) // 11
+    for i in range(0, len(rs), step):
+        spark.createDataFrame(rs[i : i + step], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    upsert, read, now, reads = NightStream._upsert, NightStream._read, [], []
+    monkeypatch.setattr(NightStream, "_upsert", lambda self, batch, i: (now.append(i), upsert(self, batch, i), upsert(self, batch, i), now.pop()))
+    monkeypatch.setattr(NightStream, "_read", lambda self, what, batches: (reads.extend((now[-1], b) for b in batches if now and what == "closed"), read(self, what, batches))[1])
+    stream = NightStream(spark, str(tmp_path / "work"), merge_every=2).run(src, max_files=1)
+    assert len(stream._folders("closed")) >= 4 and all(i == b for i, b in reads) and reads
+    whole = N.classify(N.fold(spark.createDataFrame(rs, SCHEMA)))
+    norm = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert norm(stream.nights()) == norm(N.totals(whole)) and norm(stream.state()) == norm(whole)
+
+
+def test_parts_of_the_state_follow_a_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for r in rows(4)[:8]:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stream = NightStream(spark, str(tmp_path / "work"))
+        assert [stream._parts(src, n) for n in (1, 4, 8, None)] == [max(8, spark.sparkContext.defaultParallelism), 32, 64, 64]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_found_runs_the_upserts(spark, tmp_path, monkeypatch):
     from lumenfold.plans import problems
 
